@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspark.llm import bpe
+from semaspark.llm import bpe, pii, secrets
 from semaspark.llm.common import read_table
 
 
@@ -28,8 +28,35 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _joined(spans: str, base_only: bool = False) -> Column:
+    """kind:start:end of the spans, comma-joined."""
+    found = F.filter(spans, lambda s: s["base"]) if base_only else F.col(spans)
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _counts(spans: str, kinds: tuple[str, ...]) -> list[Column]:
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return [count(k) for k in kinds]
+
+
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", *_counts("pii", pii.KINDS), F.sha2(_joined("pii", True), 256).alias("base_sha256"), _joined("pii").alias("spans"))
+
+
+def op8_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", *_counts("secrets", secrets.KINDS[:3]), F.sha2(_joined("secrets", True), 256).alias("base_sha256"), _joined("secrets").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe_round_trip": op2_bpe_round_trip}
+    return {
+        "op1_pii_weak_supervision": op1_pii_weak_supervision,
+        "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op8_secret_randomness": op8_secret_randomness,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
