@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspark.llm import bpe, pii, secrets
+from semaspark.llm import bpe, langid, pii, secrets
 from semaspark.llm.common import read_table
 
 
@@ -46,6 +46,18 @@ def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *_counts("pii", pii.KINDS), F.sha2(_joined("pii", True), 256).alias("base_sha256"), _joined("pii").alias("spans"))
 
 
+def _crc_mod(key: str, n: int) -> Column:
+    return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(n))
+
+
+def op4_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = _crc_mod("doc_id", 4) == 2
+    model = langid.learn(docs, ~held_out)
+    found = langid.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", *_counts("secrets", secrets.KINDS[:3]), F.sha2(_joined("secrets", True), 256).alias("base_sha256"), _joined("secrets").alias("spans"))
@@ -55,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_weak_supervision": op1_pii_weak_supervision,
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op4_language_cross_parsing": op4_language_cross_parsing,
         "op8_secret_randomness": op8_secret_randomness,
     }
 
