@@ -9,8 +9,9 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,3 +89,110 @@ def map_rows(
                 yield pa.RecordBatch.from_arrays([*b.columns, *step(b)], names=names)
 
     return kept.mapInArrow(run, schema)
+
+
+def map_groups(
+    df: DataFrame,
+    keys: list[str],
+    schema: T.StructType,
+    work: Callable[[], Callable[[pa.Table], pa.Table]],
+) -> DataFrame:
+    """Apply a function to each group of rows with equal ``keys`` (integers).
+
+    Groups are streamed from sorted partitions, many in one Arrow batch, so
+    tiny groups cost no call into Spark each. A group is held in memory at
+    once: callers bound its size, by ``tiles`` for instance.
+    """
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, rest = work(), None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+            if not rest.num_rows:
+                continue
+            at = [rest.column(k).to_numpy() for k in keys]
+            new = np.zeros(rest.num_rows, dtype=bool)
+            for c in at:
+                new[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist()]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                yield from step(rest.slice(i, j - i)).to_batches()
+            rest = rest.slice(cuts[-1])
+        if rest is not None and rest.num_rows:
+            yield from step(rest).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def tiles(df: DataFrame, key: str, ident: str, size: str, rows: int) -> DataFrame:
+    """Cut each group of ``key`` into chunks of about ``rows`` members, and deal
+    each member to one tile for each chunk: columns ``row``, ``col`` (row <= col)
+    and ``chunk``. Any two members meet in exactly one tile if in the same chunk
+    (row = col) or in different ones; no tile holds more than about twice
+    ``rows`` members. ``size`` is the column with the group's size."""
+    n = F.ceil(F.col(size) / rows).cast("int")
+    chunk = F.pmod(F.xxhash64(ident, F.lit(17)), n).cast("int")
+    return (
+        df.withColumn("chunk", F.when(n > 1, chunk).otherwise(0))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+        .withColumn("row", F.least("chunk", "other"))
+        .withColumn("col", F.greatest("chunk", "other"))
+        .drop("other")
+    )
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (node, root) that connect what the pairs (a, b) of 0..n-1 connect."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return [(x, r) for x in range(n) if (r := find(x)) != x]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components: (id, component) of every node of ``edges``
+    (columns u, v), by its smallest node.
+
+    Each round points every node at its smallest neighbour, follows the
+    pointers to their ends, and contracts the edges. Minimum and distinct
+    combine before they shuffle, so hubs do no harm.
+    """
+    spark = edges.sparkSession
+    edges = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    edges = materialise(edges)
+    total: DataFrame | None = None
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        point = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")))
+        while True:
+            seen = Observation()
+            onward = point.select(F.col("u").alias("w"), F.col("p").alias("q"))
+            step = point.join(onward, point.p == onward.w).select("u", "p", "q")
+            step = step.observe(seen, F.coalesce(F.sum((F.col("p") != F.col("q")).cast("long")), F.lit(0)).alias("moved"))
+            old, point = point, materialise(step.select("u", F.col("q").alias("p")))
+            discard(old)
+            if not seen.get["moved"]:
+                break
+        if total is None:
+            total = point
+        else:
+            onward = point.select(F.col("u").alias("w"), F.col("p").alias("q"))
+            total = materialise(total.join(onward, total.p == onward.w, "left").select("u", F.coalesce("q", "p").alias("p")))
+        pu, pv = point.select("u", F.col("p").alias("pu")), point.select(F.col("u").alias("v"), F.col("p").alias("pv"))
+        nxt = edges.join(pu, "u").join(pv, "v").where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
+        old, edges = edges, materialise(nxt)
+        discard(old)
+    if total is None:
+        return spark.createDataFrame([], "id long, component long")
+    return total.select(F.col("u").alias("id"), F.col("p").alias("component"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspark.llm import bpe, langid, pii, secrets
+from semaspark.llm import bpe, langid, ngram_join, pii, secrets
 from semaspark.llm.common import read_table
 
 
@@ -63,12 +63,17 @@ def op8_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *_counts("secrets", secrets.KINDS[:3]), F.sha2(_joined("secrets", True), 256).alias("base_sha256"), _joined("secrets").alias("spans"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_weak_supervision": op1_pii_weak_supervision,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op4_language_cross_parsing": op4_language_cross_parsing,
         "op8_secret_randomness": op8_secret_randomness,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     }
 
 
