@@ -18,6 +18,7 @@ import json
 import re
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -29,8 +30,14 @@ from semaspark.llm.common import map_rows
 # The byte-level pre-tokenisation pattern of the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pre-tokens that a worker remembers before it starts anew.
-MEMO = 200_000
+#: Pre-tokens, and as many parts of texts, that a worker remembers before it starts anew.
+MEMO = 400_000
+
+#: Ends a word in the text that is searched for longest matches; no byte has it.
+BREAK = "\u0100"
+
+_WHITE = re.compile(r"[\s\x1c-\x1f]")
+_JOINED = re.compile(r" (?:[\s\x1c-\x1f]|$)")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -61,42 +68,52 @@ class ByteBpe:
         rank = {t: i for i, t in enumerate(sorted((t for t in vocab if len(t) == 1)))}
         base = len(rank)
         self.left, self.right = list(range(base)), list(range(base))
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}  # by left << 32 | right
         for a, b in merges:
             x, y = rank[raw(a)], rank[raw(b)]
             new = rank.setdefault(raw(a) + raw(b), len(rank))
             if new == len(self.left):
                 self.left.append(x)
                 self.right.append(y)
-            self.pairs.setdefault((x, y), new)
+            self.pairs.setdefault(x << 32 | y, new)
         self.rank, self.n = rank, len(rank)
-        self.longest = max(map(len, rank))
+        self.byte_rank = [rank[bytes([b])] for b in range(256)]
         self.id_of = np.array([vocab[t] for t in rank], dtype=np.int32)
-        self.bytes_of = {vocab[t]: t for t in rank} | {i: s.encode() for s, i in self.special.items()}
         self._left, self._right = np.array(self.left), np.array(self.right)
-        keys = np.array([a << 32 | b for a, b in self.pairs], dtype=np.int64)
+        keys = np.array(list(self.pairs), dtype=np.int64)
         order = np.argsort(keys)
         self._keys, self._made = keys[order], np.array(list(self.pairs.values()), dtype=np.int64)[order]
         self._own = np.array([self._merge(t) == [r] for t, r in rank.items()])
+        self._trie = ahocorasick.Automaton()
+        for t, r in rank.items():
+            self._trie.add_word(t.decode("latin-1"), r)
+        self._trie.add_word(BREAK, -1)
+        self._trie.make_automaton()
+        named = {vocab[t]: t for t in rank} | {i: s.encode() for s, i in self.special.items()}
+        sizes = np.zeros(max(named) + 1, dtype=np.int64)
+        sizes[list(named)] = [len(t) for t in named.values()]
+        self._size, self._start = sizes, np.concatenate([[0], np.cumsum(sizes)])
+        self._blob = np.frombuffer(b"".join(named.get(i, b"") for i in range(len(sizes))), dtype=np.uint8)
         self.pre = regex.compile(PATTERN)
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self._memo: dict[str, bytes] = {}
+        self._memo: dict[str, bytes] = {}  # of parts that follow a space, without it
+        self._words: dict[str, bytes] = {}  # of pre-tokens
 
     def _merge(self, word: bytes) -> list[int]:
         """Exact merging: the lowest-ranked pair first, leftmost on ties."""
-        at = [self.rank[word[i : i + 1]] for i in range(len(word))]
+        at = [self.byte_rank[c] for c in word]
         if len(at) > 200:
             return self._merge_long(at)
         get, none = self.pairs.get, 1 << 60
-        while len(at) > 1:
-            best, where = none, -1
-            for i in range(len(at) - 1):
-                r = get((at[i], at[i + 1]), none)
-                if r < best:
-                    best, where = r, i
-            if where < 0:
-                break
-            at[where : where + 2] = [best]
+        made = [get(a << 32 | b, none) for a, b in zip(at, at[1:], strict=False)]
+        while made and (best := min(made)) < none:
+            i = made.index(best)
+            at[i : i + 2] = [best]
+            del made[i]
+            if i:
+                made[i - 1] = get(at[i - 1] << 32 | best, none)
+            if i < len(made):
+                made[i] = get(best << 32 | at[i + 1], none)
         return at
 
     def _merge_long(self, at: list[int]) -> list[int]:
@@ -105,7 +122,7 @@ class ByteBpe:
 
         n, get = len(at), self.pairs.get
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r, i, at[i], at[i + 1]) for i in range(n - 1) if (r := get((at[i], at[i + 1]))) is not None]
+        heap = [(r, i, at[i], at[i + 1]) for i in range(n - 1) if (r := get(at[i] << 32 | at[i + 1])) is not None]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
@@ -117,20 +134,10 @@ class ByteBpe:
             if after[j] >= 0:
                 before[after[j]] = i
             for x in (before[i], i):
-                if x >= 0 and (y := after[x]) >= 0 and (new := get((at[x], at[y]))) is not None:
+                if x >= 0 and (y := after[x]) >= 0 and (new := get(at[x] << 32 | at[y])) is not None:
                     heapq.heappush(heap, (new, x, at[x], at[y]))
         return [t for t, ok in zip(at, alive, strict=True) if ok]
 
-    def _propose(self, word: bytes) -> list[int]:
-        out, i, n, rank = [], 0, len(word), self.rank
-        while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                if (r := rank.get(word[i:j])) is not None:
-                    out.append(r)
-                    i = j
-                    break
-        return out
-
     def compatible(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether no merge crosses the border of each pair of tokens.
 
@@ -165,68 +172,104 @@ class ByteBpe:
             del undone
         return ok
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each pre-token."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each pre-token, as little-endian 32-bit numbers."""
+        if not words:
+            return []
         raws = [w.encode("utf-8") for w in words]
-        proposed = [self._propose(w) for w in raws]
-        sizes = np.fromiter(map(len, proposed), dtype=np.int64, count=len(words))
-        flat = np.fromiter((t for p in proposed for t in p), dtype=np.int64, count=int(sizes.sum()))
+        # Greedy longest matches of all words; BREAK ends each word.
+        text = BREAK.join([r.decode("latin-1") for r in raws]) + BREAK
+        found = np.fromiter((r for _, r in self._trie.iter_long(text)), dtype=np.int64)
+        ends = np.flatnonzero(found < 0)
+        sizes = np.diff(ends, prepend=-1) - 1
+        flat = found[found >= 0]
         owner = np.repeat(np.arange(len(words)), sizes)
         bad = np.zeros(len(words), dtype=bool)
         bad[owner[~self._own[flat]]] = True
-        inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else np.zeros(0, np.int64)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
         key, back = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
         fits = self.compatible(key >> 32, key & 0xFFFFFFFF)[back]
         bad[owner[inner[~fits]]] = True
-        for i in np.flatnonzero(bad):
-            proposed[i] = self._merge(raws[i])
-        return [self.id_of[p] for p in proposed]
-
-    def _pieces(self, text: str) -> list[str]:
-        """Parts that can be encoded each on its own: cuts fall before a single
-        space that begins a pre-token."""
-        parts = text.split(" ")
-        out = [parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace() and not "\x1c" <= p[0] <= "\x1f":
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
+        ids = self.id_of[flat].tobytes()
+        cuts = np.concatenate([[0], np.cumsum(sizes)]) * 4
+        out = [ids[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        wrong = np.flatnonzero(bad).tolist()
+        exact = [self._merge(raws[i]) for i in wrong]
+        ids = self.id_of[np.fromiter((t for x in exact for t in x), dtype=np.int64)].tobytes()
+        at = 0
+        for i, x in zip(wrong, exact, strict=True):
+            out[i] = ids[at : at + 4 * len(x)]
+            at += 4 * len(x)
         return out
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of texts without special tokens, through the memo of words."""
+        words, memo = list(map(self.pre.findall, pieces)), self._words
+        new = list(set().union(*words).difference(memo))
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = list(set().union(*words))
+        memo.update(zip(new, self.encode_words(new), strict=True))
+        return [b"".join([memo[w] for w in ws]) for ws in words]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, as the tokenizers library gives them."""
+        """Ids of each text, as the tokenizers library gives them.
+
+        A text is cut at its special tokens, then before each space that stands
+        between two characters of which the second is no white space: pre-tokens
+        never cross these cuts.
+        """
         memo = self._memo
-        plan: list[list[str | int]] = []
-        fresh: set[str] = set()
+        plan: list[list[tuple[str, list[str]] | int]] = []
         for text in texts:
-            row: list[str | int] = []
-            text = text or ""
-            at = 0
+            text, at, row = text or "", 0, []
             for m in self.cut.finditer(text) if self.cut else ():
-                row += [*self._pieces(text[at : m.start()]), self.special[m[0]]]
+                row += [self._parts(text[at : m.start()]), self.special[m[0]]]
                 at = m.end()
-            row += self._pieces(text[at:])
+            row.append(self._parts(text[at:] if at else text))
             plan.append(row)
-            fresh.update(row)
-        found = {x for x in fresh if isinstance(x, int)}
-        new = [x for x in fresh if x not in memo and x not in found]
+        cut = [x for row in plan for x in row if not isinstance(x, int)]
+        heads = list(dict.fromkeys(x[0] for x in cut))
+        every = set().union(*[x[1] for x in cut])
+        new = list(every.difference(memo))
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            new = [x for x in fresh if x not in found]
-        words = [self.pre.findall(x) for x in new]
-        each = [*dict.fromkeys(w for ws in words for w in ws)]
-        ids = {w: v.tobytes() for w, v in zip(each, self.encode_words(each), strict=True)}
-        for x, ws in zip(new, words, strict=True):
-            memo[x] = b"".join([ids[w] for w in ws])
-        for x in found:
-            memo[x] = np.int32(x).tobytes()
-        return [np.frombuffer(b"".join(map(memo.__getitem__, row)), dtype=np.int32) for row in plan]
+            new = list(every)
+        ids = self._encode_pieces([*heads, *[" " + x for x in new]])
+        first = dict(zip(heads, ids[: len(heads)], strict=True))
+        memo.update(zip(new, ids[len(heads) :], strict=True))
+        get, out = memo.__getitem__, []
+        for row in plan:
+            got = []
+            for x in row:
+                if isinstance(x, int):
+                    got.append(np.int32(x).tobytes())
+                else:
+                    got.append(first[x[0]])
+                    got += map(get, x[1])
+            out.append(np.frombuffer(b"".join(got), dtype=np.int32))
+        return out
+
+    def _parts(self, text: str) -> tuple[str, list[str]]:
+        """The piece at the start, and those after a space, without it."""
+        parts = text.split(" ")
+        if not _JOINED.search(text):
+            return parts[0], parts[1:]
+        out = [parts[0]]
+        for p in parts[1:]:
+            if p and not _WHITE.match(p):
+                out.append(p)
+            else:
+                out[-1] += " " + p
+        return out[0], out[1:]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids, special tokens included; bytes that are no
         UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        sizes = self._size[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self._start[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ids) else 0)
+        return self._blob[at].tobytes().decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
