@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspark.llm import bpe, langid, ngram_join, pii, secrets
+from semaspark.llm import bpe, embed_dedup, langid, ngram_join, pii, secrets
 from semaspark.llm.common import read_table
 
 
@@ -67,6 +67,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read_table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.dedup(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_weak_supervision": op1_pii_weak_supervision,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_cross_parsing": op4_language_cross_parsing,
         "op8_secret_randomness": op8_secret_randomness,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
