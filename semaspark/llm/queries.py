@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspark.llm import bpe, embed_dedup, langid, ngram_join, pii, secrets
+from semaspark.llm import bpe, embed_dedup, langid, ngram_join, pii, secrets, toxicity
 from semaspark.llm.common import read_table
 
 
@@ -58,6 +58,16 @@ def op4_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = _crc_mod("doc_id", 5) == 0
+    model = toxicity.learn_characters(docs)
+    scorer = toxicity.learn(docs, labels, ~held_out, model)
+    found = toxicity.score(docs, model, scorer, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "marked")
+
+
 def op8_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", *_counts("secrets", secrets.KINDS[:3]), F.sha2(_joined("secrets", True), 256).alias("base_sha256"), _joined("secrets").alias("spans"))
@@ -76,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii_weak_supervision": op1_pii_weak_supervision,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op4_language_cross_parsing": op4_language_cross_parsing,
+        "op7_toxicity_noisy_channel": op7_toxicity_noisy_channel,
         "op8_secret_randomness": op8_secret_randomness,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
