@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspark.llm import bpe, embed_dedup, langid, ngram_join, pii, secrets, toxicity
+from semaspark.llm import bpe, decontam, embed_dedup, langid, ngram_join, pii, secrets, toxicity
 from semaspark.llm.common import read_table
 
 
@@ -58,6 +58,12 @@ def op4_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_decontamination_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.screen(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.size("item_ids").cast("long").alias("n_items"), F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"), F.round("similarity", 6).alias("similarity"))
+
+
 def op7_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii_weak_supervision": op1_pii_weak_supervision,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op4_language_cross_parsing": op4_language_cross_parsing,
+        "op5_decontamination_simhash": op5_decontamination_simhash,
         "op7_toxicity_noisy_channel": op7_toxicity_noisy_channel,
         "op8_secret_randomness": op8_secret_randomness,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
