@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semaspark.llm import bpe, decontam, embed_dedup, langid, ngram_join, pii, secrets, toxicity
+from semaspark.llm import bpe, chat, decontam, embed_dedup, langid, licenses, ngram_join, pii, secrets, toxicity
 from semaspark.llm.common import read_table
 
 
@@ -50,6 +50,10 @@ def _crc_mod(key: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(n))
 
 
+def op3_chat_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = _crc_mod("doc_id", 4) == 2
@@ -64,6 +68,17 @@ def op5_decontamination_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", F.size("item_ids").cast("long").alias("n_items"), F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"), F.round("similarity", 6).alias("similarity"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a directory for each source, thousand and two hundred
+    ids, in which every tenth document stands as a LICENSE file."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    folder = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 200).cast("string"))
+    name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs.select("doc_id", "text", F.concat_ws("/", folder, name).alias("path"))
+    found = licenses.scan(files)
+    return found.select("doc_id", "path", "license", F.round("cosine", 6).alias("cosine"), "origin")
+
+
 def op7_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -91,8 +106,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_weak_supervision": op1_pii_weak_supervision,
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op3_chat_snapshot_collapse": op3_chat_snapshot_collapse,
         "op4_language_cross_parsing": op4_language_cross_parsing,
         "op5_decontamination_simhash": op5_decontamination_simhash,
+        "op6_license_scan": op6_license_scan,
         "op7_toxicity_noisy_channel": op7_toxicity_noisy_channel,
         "op8_secret_randomness": op8_secret_randomness,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
