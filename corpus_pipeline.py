@@ -1,12 +1,74 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+Every stage but the last returns the columns of ``documents``. Null ids are
+kept by all stages that don't reject their text; where a ``doc_id`` repeats, the
+join stage keeps one row of it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from semaspark.llm import bpe, decontam, langid, ngram_join, secrets
+from semaspark.llm.common import materialise, read_table
+from semaspark.llm.queries import tokenizer_path
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language; those without a letter go."""
+    model = langid.learn(docs, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
+    return langid.identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class: the one with the smallest id."""
+    found = materialise(ngram_join.join(docs).where("kept").select("doc_id"))
+    kept = docs.join(found.select(F.col("doc_id").alias("k")).distinct(), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = materialise(repeated)
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    hit = decontam.find(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc").alias("k")).distinct()
+    return docs.join(materialise(hit), F.col("doc_id") == F.col("k"), "left_anti")
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked and lengths set anew."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their token ids and the text decoded from these."""
+    out = bpe.round_trip(docs, tokenizer_path())
+    same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
+    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", mask_secrets),
+    ("BPE encoding and decoding", tokens),
+]
 
-STAGES: list = []
+#: SQL can't express language ID nor the tests of randomness.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order, over ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs)
+    return docs

@@ -223,3 +223,29 @@ def find(df: DataFrame, text: str = "text", keep: list[str] | None = None, rate:
     kept = F.filter("found_spans", lambda s: (s["kind"] < 3) | (s["cell"].isin(good) if good else F.lit(False)))
     out = F.transform(kept, lambda s: F.struct(F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (s["kind"] < 3).alias("base")))
     return found.select(*[F.col(f"`{c}`") for c in keep], out.alias("secrets"))
+
+
+MASK = "<SECRET>"
+
+
+def mask(text: str | None, found: list[dict] | None) -> str | None:
+    """The text with MASK for each span, or run of overlapping spans."""
+    if not text or not found:
+        return text
+    out, at, end = [], 0, -1
+    for s in sorted(found, key=lambda s: (s["start"], s["end"])):
+        if s["start"] >= end:
+            out += [text[at : s["start"]], MASK]
+        end = at = max(end, s["end"])
+    return "".join([*out, text[at:]])
+
+
+def redact(df: DataFrame, text: str = "text", rate: float = 0.05) -> DataFrame:
+    """The columns of ``df``, with each secret of the text masked."""
+    found = find(df, text, rate=rate)
+
+    def work():
+        return lambda b: [pa.array([mask(t, s) for t, s in zip(b.column(text).to_pylist(), b.column("secrets").to_pylist(), strict=True)], pa.string())]
+
+    masked = map_rows(found, found.columns, [T.StructField("masked_text", T.StringType())], work, 1024)
+    return masked.select(*[F.col("masked_text").alias(text) if c == text else F.col(f"`{c}`") for c in df.columns])
