@@ -78,7 +78,8 @@ def test_window_reaches_the_scan(spark, sf):
     p = planner(spark, sf).plan(q)
     assert p.aliases == ["orders", "customers"]  # the guard's, and no others
     assert {r[0] for r in p.frame.collect()} <= {"1997-08", "1997-09", "1997-10"}
-    text = p.frame._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = planner(spark, sf).frame(q)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in text and "LessThan(o_orderdate" in text and "o_orderpriority" not in text
 
 
