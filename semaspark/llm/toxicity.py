@@ -43,7 +43,7 @@ _SPACED = re.compile(r"(?<!\w)(?:[^\W_][ ._*~/-]{1,2}){3,}[^\W_](?!\w)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SIGNS = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
 _LONG = re.compile(r"([^\W\d_])\1\1")
-_INNER = re.compile(r"[^\W\d_][._*~·-]+[^\W\d_]")
+_INNER = re.compile(r"[^\W\d_][ ._*~·-]+[^\W\d_]")
 _RUN = re.compile(r"(.)\1+")
 
 

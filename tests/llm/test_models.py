@@ -1,0 +1,94 @@
+"""Language identification and toxicity: held-out accuracy and edge cases."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from semaspark.llm import langid, queries, toxicity
+
+FIXTURE = "/root/testdata/sf0.01"
+
+
+def test_automaton_parses_into_longest_phrases():
+    text = np.array([1, 2, 1, 2, 3])
+    table = langid.automaton(text, 5)
+
+    def phrases(s):
+        state, n = 0, 1
+        for c in s:
+            got = table[state, c]
+            n, state = n + (got & 1), got >> 1
+        return n
+
+    def brute(s):
+        n, cur, hay = 1, "", "12123"
+        for c in map(str, s):
+            if cur + c in hay:
+                cur += c
+            else:
+                n, cur = n + 1, c if c in hay else ""
+        return n
+
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        s = rng.integers(1, 5, rng.integers(0, 12)).tolist()
+        assert phrases(s) == brute(s), s
+
+
+def test_language_edge_cases(spark):
+    rows = [(i, "the quick brown fox and the lazy dog " * 3, "en", 1) for i in range(20)] + [(i + 50, "der schnelle braune fuchs und der faule hund " * 3, "de", 1) for i in range(20)]
+    rows += [(90, None, "en", 1), (91, "", "de", 1), (92, "123 !!", None, 1), (93, "und der hund", None, 1), (93, "und der hund", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    model = langid.learn(df, df.doc_id >= 0)
+    out = {(r.doc_id, r.lang_pred) for r in langid.identify(df, model, keep=["doc_id"]).collect()}
+    assert {(90, "und"), (91, "und"), (92, "und"), (93, "de"), (3, "en"), (53, "de")} <= out
+    assert langid.identify(df.limit(0), model).count() == 0
+    none = langid.learn(df.limit(0), df.doc_id >= 0)
+    assert {r.lang_pred for r in langid.identify(df, none, keep=["doc_id"]).collect()} == {"und"}
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{FIXTURE}/documents.parquet").select("doc_id", "lang")
+    got = queries.op4_language_cross_parsing(spark, FIXTURE).where("held_out").join(docs, "doc_id").collect()
+    assert len(got) > 150 and sum(r.lang_pred == r.lang for r in got) / len(got) > 0.97
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+@pytest.fixture(scope="module")
+def model():
+    text = "you are an idiot and a moron said the silly person who went to the market with a lot of the trash in the morning " * 50
+    return toxicity.CharModel(toxicity.count_grams([text]))
+
+
+@pytest.mark.parametrize(("token", "word"), [("1d1ot", "idiot"), ("i.d.i.o.t", "idiot"), ("m0r0n", "moron"), ("idiiiiot", "idiot"), ("tr@$h", "trash")])
+def test_restoration(model, token, word):
+    assert toxicity.doubtful(token)
+    assert word in toxicity.Restorer(model).words(token)
+    assert word in toxicity.restore(f"an {token}", model)
+
+
+def test_plain_tokens_have_one_reading(model):
+    assert not toxicity.doubtful("market") and toxicity.restore("the market, 12 of 30!", model) == "the market, 12 of 30!"
+    assert toxicity.Restorer(model).text(None) == [] and toxicity.restore(None, model) == ""
+    assert "idiot" in toxicity.Restorer(model, frozenset(["idiot"])).text("such an i d i o t here")
+
+
+def test_toxicity_held_out(spark):
+    labels = spark.read.parquet(f"{FIXTURE}/labels.parquet")
+    got = queries.op7_toxicity_noisy_channel(spark, FIXTURE)
+    assert got.count() == spark.read.parquet(f"{FIXTURE}/documents.parquet").count()
+    rows = got.where("held_out").join(labels, "doc_id").collect()
+    clean = [r for r in rows if not r.toxic]
+    assert sum(r.predicted for r in clean) <= 0.05 * len(clean)
+    insults = [r for r in rows if r.toxic and r.marked]
+    assert insults and all(r.predicted for r in insults)
+
+
+def test_toxicity_without_labels(spark, model):
+    df = spark.createDataFrame([(1, "x", 0.5), (2, None, 0.5), (2, None, 0.5)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(1, None)], "doc_id long, toxic int")
+    scorer = toxicity.learn(df, labels, labels.doc_id > 0, model)
+    out = toxicity.score(df, model, scorer, keep=["doc_id"], restored=True).collect()
+    assert [r.score for r in out] == [0.0] * 3 and {r.restored for r in out} == {"x", ""}
+    assert toxicity.score(df.limit(0), model, scorer).count() == 0
