@@ -20,6 +20,7 @@ like an output. Items are broadcast only while their n-grams stay below
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,11 @@ FLIPS = 2
 RADIUS = len(BLOCKS) * (FLIPS + 1) - 1
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column) -> Column:
     """Words in lower case; none of null."""
     found = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
@@ -41,22 +47,26 @@ def words(text: Column) -> Column:
 
 def grams(found: Column, n: int) -> Column:
     """Hashes of word n-grams in order."""
-    size = F.size(found)
-    at = F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))
-    return F.when(size > 0, F.transform(at, lambda i: F.xxhash64(F.slice(found, i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+
+    def hashes(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+        return F.when(F.size(w) > 0, F.transform(at, lambda i: F.xxhash64(F.slice(w, i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(found, hashes)
 
 
 def fingerprint(hashes: Column) -> Column:
     """SimHash of n-gram hashes: each bit by the majority of theirs."""
 
-    def bit(b: int) -> Column:
-        ones = F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.getbit(h, F.lit(b)).cast("int"))
-        return F.when(ones * 2 > F.size(hashes), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
+    def bits(own: Column) -> Column:
+        def add(acc: Column, b: Column) -> Column:
+            ones = F.aggregate(own, F.lit(0), lambda n, h: n + F.getbit(h, b).cast("int"))
+            one = F.call_function("shiftleft", F.lit(1).cast("bigint"), b)
+            return acc.bitwiseOR(F.when(ones * 2 > F.size(own), one).otherwise(F.lit(0).cast("bigint")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), add)
 
-    out = bit(0)
-    for b in range(1, 64):
-        out = out.bitwiseOR(bit(b))
-    return out
+    return let(hashes, bits)
 
 
 def _block(print_: Column, start: int, width: int) -> Column:
@@ -85,7 +95,8 @@ def find(
     listed = again.select("doc", "at", grams(words(F.col("text")), n).alias("all"))
     window = listed.select("doc", "all", F.explode("at").alias("w")).select("doc", F.col("w.start").alias("start"), F.col("w.span").alias("span"), F.slice("all", F.col("w.start") + 1, F.col("w.span")).alias("held"))
     window = materialise(window.where("size(held) > 0").withColumn("print", fingerprint(F.col("held"))))
-    printed = item.select("item", F.size("own").alias("span"), fingerprint(F.col("own")).alias("print"))
+    # Written, lest the fingerprint be worked out again for each flip.
+    printed = materialise(item.select("item", F.size("own").alias("span"), fingerprint(F.col("own")).alias("print")))
     flips = [0, *[sum(1 << b for b in c) for k in range(1, FLIPS + 1) for c in combinations(range(11), k)]]
     item_side = printed.select(
         "item", "span", F.col("print").alias("item_print"),
@@ -108,8 +119,8 @@ def _tag(i: int, block: Column) -> Column:
 
 
 def _near(i: int, start: int, width: int, flips: list[int]) -> Column:
-    own = _block(F.col("print"), start, width)
-    return F.array(*[_tag(i, own.bitwiseXOR(F.lit(x).cast("bigint"))) for x in flips if x < 1 << width])
+    listed = F.split(F.lit(",".join(str(x) for x in flips if x < 1 << width)), ",")
+    return F.transform(listed, lambda x: _tag(i, _block(F.col("print"), start, width).bitwiseXOR(x.cast("bigint"))))
 
 
 def screen(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
