@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from semaspark.llm import bpe, chat, decontam, embed_dedup, langid, licenses, ngram_join, pii, secrets, toxicity
 from semaspark.llm.common import read_table
+from semaspark.llm.oracles import ORACLES
 
 
 def tokenizer_path() -> str:
@@ -65,7 +66,7 @@ def op4_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.screen(docs, read_table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "contaminated", F.size("item_ids").cast("long").alias("n_items"), F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"), F.round("similarity", 6).alias("similarity"))
+    return found.select("doc_id", "contaminated", F.size("item_ids").cast("long").alias("n_items"), F.array_join(F.sort_array(F.col("item_ids").cast("array<string>")), ",").alias("item_ids"), F.round("similarity", 6).alias("similarity"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
