@@ -39,7 +39,7 @@ TEMPLATES = {
     "Proprietary": "Copyright. All rights reserved. Proprietary and confidential.",
 }
 
-_HEADER = r"(?i)licen[cs]e|copyright|spdx|all rights reserved|public domain|redistribution"
+HEADER = r"(?i)licen[cs]e|copyright|spdx|all rights reserved|public domain|redistribution"
 _FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
 
 
@@ -49,7 +49,7 @@ def _words(text: Column) -> Column:
 
 def header(text: Column) -> Column:
     """The lines that speak of licences."""
-    return F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda line: line.rlike(_HEADER)), "\n")
+    return F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda line: line.rlike(HEADER)), "\n")
 
 
 def match(files: DataFrame, text: str = "text", threshold: float = 0.6) -> DataFrame:
@@ -81,7 +81,8 @@ def match(files: DataFrame, text: str = "text", threshold: float = 0.6) -> DataF
 
     def cosine(name: str) -> Column:
         own = F.create_map(*[x for (n, t), u in sorted(unit.items()) if n == name for x in (F.lit(t), F.lit(u))])
-        return F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.element_at(own, x["t"]), F.lit(0.0))) / length
+        dot = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.element_at(own, x["t"]), F.lit(0.0)))
+        return F.round(dot / length, 10)  # so that equal cosines are ties
 
     best = F.array_max(F.array(*[F.struct(cosine(n).alias("cosine"), F.lit(-i).alias("order"), F.lit(n).alias("name")) for i, n in enumerate(sorted(TEMPLATES))]))
     work = work.withColumn("best", F.when(F.col("vector").isNotNull(), best))

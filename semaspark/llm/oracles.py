@@ -56,3 +56,29 @@ ORACLES = {
     "op3_chat_snapshot_collapse": CHATS, "op5_decontamination_simhash": DECONTAMINATION,
     "op9_ngram_jaccard_join": JACCARD, "op10_embedding_near_dedup": EMBEDDINGS,
 }
+
+
+def licences(templates: dict[str, str], header: str, threshold: float = 0.6) -> str:
+    """The license scan over documents as files, from the templates' text."""
+    values = ", ".join(f"('{n}', '{b}')" for n, b in templates.items())
+    n = len(templates)
+    return f"""
+WITH tpl(name, body) AS (VALUES {values}),
+tt AS (SELECT name, term, COUNT(*) AS tf FROM (SELECT name, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')) AS term FROM tpl) GROUP BY 1, 2),
+idf AS (SELECT term, ln({n + 1}.0 / (1 + COUNT(*))) + 1 AS idf FROM tt GROUP BY term),
+tw AS (SELECT name, term, tf * idf AS w FROM tt JOIN idf USING (term)),
+tn AS (SELECT name, sqrt(SUM(w * w)) AS n FROM tw GROUP BY name),
+f AS (SELECT doc_id, text, concat_ws('/', source, CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 200 AS VARCHAR)) AS dir,
+  CASE WHEN doc_id % 10 = 0 THEN 'LICENSE.' || CAST(doc_id AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) || '.txt' END AS name_ FROM documents),
+h AS (SELECT doc_id, array_to_string(list_filter(string_split_regex(COALESCE(text, ''), '\\r?\\n'), lambda l: regexp_matches(l, '{header}')), chr(10)) AS head FROM f),
+hw AS (SELECT doc_id, term, tf * COALESCE(idf, ln({n + 1}.0) + 1) AS w FROM (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(head), '[\\p{{L}}\\p{{N}}]+')) AS term FROM h WHERE head <> '') GROUP BY 1, 2) LEFT JOIN idf USING (term)),
+hn AS (SELECT doc_id, sqrt(SUM(w * w)) AS n FROM hw GROUP BY doc_id),
+cs AS (SELECT hw.doc_id, tw.name, SUM(hw.w * tw.w) / any_value(hn.n) / any_value(tn.n) AS c FROM hw JOIN tw USING (term) JOIN hn ON hn.doc_id = hw.doc_id JOIN tn ON tn.name = tw.name GROUP BY 1, 2),
+best AS (SELECT doc_id, name, c FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 10) DESC, name) AS r FROM cs) WHERE r = 1),
+own AS (SELECT f.doc_id, dir, name_, CASE WHEN c >= {threshold} THEN best.name END AS license, COALESCE(c, 0.0) AS cosine FROM f LEFT JOIN best USING (doc_id)),
+given AS (SELECT dir AS above, license AS theirs FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY round(cosine, 10) DESC, license) AS r FROM own WHERE name_ LIKE 'LICENSE%' AND license IS NOT NULL) WHERE r = 1),
+ups AS (SELECT DISTINCT dir, array_to_string(string_split(dir, '/')[1:d], '/') AS above, d FROM own, range(0, 4) t(d)),
+near AS (SELECT dir, above, theirs FROM (SELECT u.*, theirs, row_number() OVER (PARTITION BY dir ORDER BY d DESC) AS r FROM ups u JOIN given USING (above)) WHERE r = 1)
+SELECT own.doc_id, own.dir || '/' || name_ AS path, COALESCE(license, theirs) AS license, ROUND(cosine, 6) AS cosine, CASE WHEN license IS NOT NULL THEN 'own' ELSE above END AS origin
+FROM own LEFT JOIN near ON near.dir = own.dir
+"""

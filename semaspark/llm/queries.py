@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from semaspark.llm import bpe, chat, decontam, embed_dedup, langid, licenses, ngram_join, pii, secrets, toxicity
 from semaspark.llm.common import read_table
-from semaspark.llm.oracles import ORACLES
+from semaspark.llm.oracles import ORACLES, licences
 
 
 def tokenizer_path() -> str:
@@ -119,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {"op6_license_scan": licences(licenses.TEMPLATES, licenses.HEADER)}
