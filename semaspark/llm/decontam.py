@@ -12,7 +12,7 @@ the logarithm of its rareness among items, must reach the threshold.
 
 Cases: null or empty documents and items match nothing; a text of fewer words
 than ``n`` has one n-gram, all its words; case and all but letters and digits
-don't count; repeated rows are judged alike; rows with null ids are judged too;
+don't count; repeated rows are judged alike; rows with null ids count as clean;
 an empty benchmark clears every document; other columns are kept unless named
 like an output. Items are broadcast only while their n-grams stay below
 ``broadcast_grams``.
