@@ -56,11 +56,16 @@ def semantic(name: str, oracle: str, explore: str, fields: str, *filters: Filter
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         q = SemanticQuery(explore, tuple(fields.split()), filters, **how)  # type: ignore[arg-type]
-        return normalise(planner(spark, sf_dir).frame(q))
+        return dates_as_text(normalise(planner(spark, sf_dir).frame(q)))
 
     register(name, oracle)(run)
 
 
+def dates_as_text(df: DataFrame) -> DataFrame:
+    """Dates in ISO form, which every client reads alike."""
+    return df.select(*[F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in df.dtypes])
+
+
 # Text shared by oracles: the guarded orders with their customers.
 _GUARD = "FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE NOT (c.c_acctbal < 0) AND NOT (o.o_orderstatus = 'P')"
 _TOTAL = "CAST(o.o_totalprice AS DECIMAL(12,2))"
@@ -115,7 +120,7 @@ semantic("derived_table_facts", f"SELECT o.o_orderstatus AS orders__status, CAST
 # -- time
 
 for _frame, _sql in {
-    "date": "CAST(o.o_orderdate AS DATE)", "week": "CAST(date_trunc('week', o.o_orderdate) AS DATE)", "month": "strftime(o.o_orderdate, '%Y-%m')",
+    "date": "CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR)", "week": "CAST(CAST(date_trunc('week', o.o_orderdate) AS DATE) AS VARCHAR)", "month": "strftime(o.o_orderdate, '%Y-%m')",
     "quarter": "CAST(year(o.o_orderdate) AS VARCHAR) || '-Q' || CAST(quarter(o.o_orderdate) AS VARCHAR)", "year": "year(o.o_orderdate)", "raw": "o.o_orderdate",
 }.items():
     semantic(f"timeframe_{_frame}", f"SELECT {_sql} AS orders__ordered_{_frame}, COUNT(DISTINCT o.o_orderkey) AS orders__order_count {_GUARD} GROUP BY 1", "orders", f"orders.ordered_{_frame} orders.order_count")
@@ -174,9 +179,9 @@ def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy(normalised_status(F.col("s")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("fiscal_calendar", f"SELECT CAST(d AS DATE) AS calendar_date, {_FY.format(d='d')} AS fiscal_year, ((month(d) + 10) % 12) // 3 + 1 AS fiscal_quarter, {_FQ.format(d='d')} AS fiscal_quarter_label, (month(d) + 10) % 12 + 1 AS fiscal_month, make_date({_FY.format(d='d')} - 1, 2, 1) AS fiscal_year_start, CAST(make_date({_FY.format(d='d')} - 1, 2, 1) + to_months(CAST(3 * (((month(d) + 10) % 12) // 3) AS INTEGER)) AS DATE) AS fiscal_quarter_start FROM generate_series(DATE '2023-02-01', DATE '2027-01-31', INTERVAL 1 DAY) t(d)")
+@register("fiscal_calendar", f"SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS calendar_date, {_FY.format(d='d')} AS fiscal_year, ((month(d) + 10) % 12) // 3 + 1 AS fiscal_quarter, {_FQ.format(d='d')} AS fiscal_quarter_label, (month(d) + 10) % 12 + 1 AS fiscal_month, CAST(make_date({_FY.format(d='d')} - 1, 2, 1) AS VARCHAR) AS fiscal_year_start, CAST(CAST(make_date({_FY.format(d='d')} - 1, 2, 1) + to_months(CAST(3 * (((month(d) + 10) % 12) // 3) AS INTEGER)) AS DATE) AS VARCHAR) AS fiscal_quarter_start FROM generate_series(DATE '2023-02-01', DATE '2027-01-31', INTERVAL 1 DAY) t(d)")
 def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalise(fiscal.calendar(spark, date(2023, 2, 1), date(2027, 2, 1)))
+    return dates_as_text(normalise(fiscal.calendar(spark, date(2023, 2, 1), date(2027, 2, 1))))
 
 
 # -- SQL: star-plus projection, CTEs, scalar subqueries, one-row cross joins, anti joins

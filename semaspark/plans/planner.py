@@ -82,7 +82,11 @@ class Planner:
     def plan(self, query: SemanticQuery) -> Plan:
         if query.explore not in self.model.explores:
             raise SemanticError(f"unknown explore '{query.explore}'")
-        return _Build(self, self.model.explores[query.explore]).run(query)
+        explore = self.model.explores[query.explore]
+        out = _Build(self, explore).run(query)
+        multiplied = any(explore.parts[a].get("relationship", "many_to_one") in _MULTIPLIES for a in out.aliases[1:])
+        # Where no join repeats the base's rows, its keys need not be made distinct.
+        return out if multiplied or not out.measures else _Build(self, explore, unique=True).run(query)
 
     def frame(self, query: SemanticQuery) -> DataFrame:
         return self.plan(query).frame
@@ -93,8 +97,8 @@ class Planner:
 
 
 class _Build:
-    def __init__(self, planner: Planner, explore: Part):
-        self.planner, self.model, self.explore = planner, planner.model, explore
+    def __init__(self, planner: Planner, explore: Part, unique: bool = False):
+        self.planner, self.model, self.explore, self.unique = planner, planner.model, explore, unique
         self.views = self.model.aliases(explore)
         self.base = next(iter(self.views))
         for alias, view in self.views.items():
@@ -224,7 +228,8 @@ class _Build:
             key = self._key(ref)
             if key is None:
                 return F.count(only(F.lit(1)))
-            return F.count_distinct(only(self.dimension(Ref(ref.alias, key))))
+            counted = F.count if self.unique and ref.alias == self.base else F.count_distinct
+            return counted(only(self.dimension(Ref(ref.alias, key))))
         makers = {"count_distinct": F.count_distinct, "sum": F.sum, "average": lambda c: F.avg(c.cast("double")), "min": F.min, "max": F.max}
         if kind not in makers:
             raise SemanticError(f"measure '{self_name}' has unsupported type '{kind}'")

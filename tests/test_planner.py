@@ -83,6 +83,12 @@ def test_window_reaches_the_scan(spark, sf):
     assert "GreaterThanOrEqual(o_orderdate" in text and "LessThan(o_orderdate" in text and "o_orderpriority" not in text
 
 
+def test_keys_of_rows_that_no_join_repeats_are_counted_plainly(spark, sf, fan):
+    text = planner(spark, sf).frame(SemanticQuery("orders", ("orders.status", "orders.order_count")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in text
+    assert "distinct" in ask(fan, "b.k", "a.n").frame._jdf.queryExecution().analyzed().toString()
+
+
 def test_grants_hide_fields(spark, sf):
     p = planner(spark, sf)
     p.grants = {}
