@@ -143,9 +143,14 @@ def tiles(df: DataFrame, key: str, ident: str, size: str, rows: int) -> DataFram
     )
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (node, root) that connect what the pairs (a, b) of 0..n-1 connect."""
+def forest(n: int, a: np.ndarray, b: np.ndarray, known: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Edges that connect what the pairs (a, b) of 0..n-1 connect, without those
+    inside the sets in ``known``, which are connected elsewhere."""
     root = list(range(n))
+    for same in known or ():
+        for x in same.tolist():
+            root[x] = int(same[0])
+    edges: list[tuple[int, int]] = []
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -157,7 +162,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         x, y = find(x), find(y)
         if x != y:
             root[max(x, y)] = min(x, y)
-    return [(x, r) for x in range(n) if (r := find(x)) != x]
+            edges.append((max(x, y), min(x, y)))
+    return edges
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def _brute_tokens(agree: float):
     def work():
         def step(t: pa.Table) -> pa.Table:
             ids, row, col = _pairs(t)
-            if len(ids) < 2:
+            if not len(row) or not len(col):
                 return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
             x = np.frombuffer(b"".join(t.column("tokens").to_pylist()), dtype=np.uint16).reshape(-1, TOKENS)
             a, b = [], []
@@ -171,7 +171,9 @@ def _brute_tokens(agree: float):
                 ok = ids[r[p]] != ids[col[q]]
                 a.append(r[p[ok]])
                 b.append(col[q[ok]])
-            tree = forest(len(ids), np.concatenate(a), np.concatenate(b))
+            # What a chunk's own tile connects needs no edge here.
+            own = [] if row[0] == col[0] else [g for part in (row, col) for g in _bunches(x, part, need)]
+            tree = forest(len(ids), np.concatenate(a), np.concatenate(b), own)
             return pa.table({"u": pa.array([ids[p] for p, _ in tree], pa.int64()), "v": pa.array([ids[q] for _, q in tree], pa.int64())})
 
         return step
@@ -179,6 +181,18 @@ def _brute_tokens(agree: float):
     return work
 
 
+def _bunches(x: np.ndarray, part: np.ndarray, need: int) -> list[np.ndarray]:
+    """Sets of members that agree with one of them, of a few such."""
+    out, left = [], part
+    for _ in range(8):
+        if len(left) < 2:
+            break
+        near = (x[left] == x[left[0]]).sum(1) >= need
+        out.append(left[near])
+        left = left[~near]
+    return out
+
+
 def _split():
     def work():
         def step(b: pa.RecordBatch) -> list[pa.Array]:
