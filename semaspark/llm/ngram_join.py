@@ -36,11 +36,14 @@ RUNS = 8
 BRANCH = 1.54
 #: Members of a node that are compared without a further split.
 SMALL = 200
-#: Members of a chunk of a tile.
+#: Members of a chunk of a tile, of tokens and of n-gram sets.
+TOKEN_CHUNK = 512
 CHUNK = 256
-#: Levels of a path before its nodes are counted, and further ones at each split.
+#: Levels of a path before its nodes are counted.
 LEVELS = 2
-SPLITS = 2
+#: Further levels, at which large nodes are split, with their expected children.
+SPLITS = 1
+SPLIT_BRANCH = 1.25
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -99,9 +102,9 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def follow(nodes: np.ndarray, owner: np.ndarray, tokens: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+def follow(nodes: np.ndarray, owner: np.ndarray, tokens: np.ndarray, levels: int, branch: float = BRANCH) -> tuple[np.ndarray, np.ndarray]:
     """The nodes that ``levels`` more steps lead to, and whose they are."""
-    bound = _U(int(BRANCH / TOKENS * 2**64))
+    bound = _U(int(branch / TOKENS * 2**64))
     at = np.arange(1, TOKENS + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93)
     for _ in range(levels):
         r, c = np.nonzero(mix(nodes[:, None] + at[None, :]) < bound)
@@ -198,7 +201,7 @@ def _split():
         def step(b: pa.RecordBatch) -> list[pa.Array]:
             nodes = b.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
             x = np.frombuffer(b"".join(b.column("tokens").to_pylist()), dtype=np.uint16).reshape(-1, TOKENS)
-            return [_lists(*follow(nodes, np.arange(len(nodes)), x, LEVELS), len(nodes))]
+            return [_lists(*follow(nodes, np.arange(len(nodes)), x, 1, SPLIT_BRANCH), len(nodes))]
 
         return step
 
@@ -283,7 +286,7 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, thr
         if left:
             members = materialise(members)
         now = members.where(F.col("members") <= SMALL) if left else members
-        tiled = tiles(now, "node", "id", "members", CHUNK)
+        tiled = tiles(now, "node", "id", "members", TOKEN_CHUNK)
         maybe.append(map_groups(tiled.select("node", "row", "col", "chunk", "id", "tokens"), ["node", "row", "col"], _EDGE, _brute_tokens(threshold - 0.15)))
         if left:
             large = members.where(F.col("members") > SMALL)
