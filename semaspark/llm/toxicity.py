@@ -45,6 +45,11 @@ _SIGNS = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
 _LONG = re.compile(r"([^\W\d_])\1\1")
 _INNER = re.compile(r"[^\W\d_][ ._*~·-]+[^\W\d_]")
 _RUN = re.compile(r"(.)\1+")
+_DOUBLE = re.compile(r"(.)\1", re.IGNORECASE)
+_CLEAN = re.compile(r"([^\W\d_]+)[.,;:?]*")
+
+#: Tokens that a worker remembers before it starts anew.
+MEMO = 400_000
 
 
 def fold(c: str) -> str:
@@ -134,22 +139,22 @@ class Restorer:
 
     def words(self, token: str) -> tuple[str, ...]:
         """The words of a token after restoration; only known ones if any are given."""
-        found = self.memo.get(token)
-        if found is None:
-            plain = [w.lower() for w in _LETTERS.findall(token)]
-            out = list(plain)
-            if doubtful(token) or (self.bare and any(w not in self.known and _RUN.sub(r"\1", w) in self.bare for w in plain)):
-                if len(token) > 2:
-                    read = self.model.read(token).split()
-                    if self.known and (squeezed := [w for w in read if w not in self.known]):
-                        # The model may keep a repeated letter: known words decide.
-                        read += [k for w in squeezed if (k := self._known(w))]
-                    out += [w for w in read if w not in out]
-            found = tuple(w for w in out if w in self.known) if self.known else tuple(out)
-            if len(self.memo) > 400_000:
-                self.memo.clear()
-            self.memo[token] = found
-        return found
+        m = _CLEAN.fullmatch(token)
+        if m and not _DOUBLE.search(m[1]):
+            w = m[1].lower()
+            if not self.known or w in self.known:
+                return (w,)
+            if w not in self.bare:
+                return ()
+        plain = [w.lower() for w in _LETTERS.findall(token)]
+        out = list(plain)
+        if len(token) > 2 and (doubtful(token) or (self.bare and any(w not in self.known and _RUN.sub(r"\1", w) in self.bare for w in plain))):
+            read = self.model.read(token).split()
+            if self.known and (squeezed := [w for w in read if w not in self.known]):
+                # The model may keep a repeated letter: known words decide.
+                read += [k for w in squeezed if (k := self._known(w))]
+            out += [w for w in read if w not in out]
+        return tuple(w for w in out if w in self.known) if self.known else tuple(out)
 
     def _known(self, word: str) -> str | None:
         bare = _RUN.sub(r"\1", word)
@@ -157,12 +162,18 @@ class Restorer:
 
     def text(self, text: str | None) -> list[str]:
         """Words of a whole text, spelt-out ones included."""
-        text = text or ""
+        tokens, memo = (text or "").split(), self.memo
+        tokens += [m[0] for m in _SPACED.finditer(text or "")]
+        new = set(tokens).difference(memo)
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = set(tokens)
+        for t in new:
+            memo[t] = self.words(t)
         out: list[str] = []
-        for token in text.split():
-            out += self.words(token)
-        for m in _SPACED.finditer(text):
-            out += self.words(m[0])
+        for found in map(memo.__getitem__, tokens):
+            if found:
+                out += found
         return out
 
 
