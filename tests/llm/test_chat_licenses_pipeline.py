@@ -80,3 +80,18 @@ def test_pipeline_stages(spark, sf):
 def test_repeated_ids_leave_one_row(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, "a b c d e f", "en", "s", 11), (None, "x y z", "en", "s", 5), (None, "x y z", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r.doc_id or 0) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [0, 0, 1]
+
+
+def test_real_licence_texts_notices_and_tags(spark):
+    """Whole texts as distributions ship them, their notices and SPDX tags."""
+    from pathlib import Path
+
+    common = Path("/usr/share/common-licenses")
+    rows = [(f"{n}/LICENSE", (common / f).read_text(), n) for n, f in (("Apache-2.0", "Apache-2.0"), ("BSD-3-Clause", "BSD"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"))]
+    mit = dict(licenses.texts()[:8])["MIT"].replace("<year> <copyright holders>", "2019 Jane Doe and others")
+    rows += [("MIT/COPYING", mit, "MIT"), ("MIT/sub/x.py", "code", "MIT"), ("n/mit.c", "\n".join(f" * {line}" for line in mit.split("\n")) + "\n */\n\nint main() {}", "MIT")]
+    apache = '# Copyright 2020 Jane Doe\n#\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an "AS IS" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n# See the License for the specific language governing permissions and\n# limitations under the License.\n\nimport os\n'
+    gpl = "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * This program is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the\n * GNU General Public License for more details.\n */\n\nint x;\n"
+    rows += [("n/a.py", apache, "Apache-2.0"), ("n/g.c", gpl, "GPL-3.0"), ("n/s.c", "// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("n/t.c", "/* SPDX-License-Identifier: GPL-2.0-only */\nint x;", "GPL-2.0"), ("n/u.c", "# SPDX-License-Identifier: MIT OR Apache-2.0\nx", "MIT OR Apache-2.0"), ("n/plain.c", "int main() {}", None), ("p/LICENSE", "the river ran past the old mill and the road to the town", None)]
+    got = {r.path: r.license for r in licenses.scan(spark.createDataFrame(rows, "path string, text string, want string")).collect()}
+    assert got == {p: w for p, _, w in rows}
