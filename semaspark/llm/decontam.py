@@ -5,8 +5,11 @@ A window that shares no word n-gram with an item can't be alike, so windows are
 placed where a shared n-gram lines both up; all such windows are taken. Their
 64-bit SimHash fingerprints, and the items', are cut into ``BLOCKS`` blocks;
 items are listed under all values of a block within two flips, so any window
-within ``RADIUS`` bits meets its item in at least one block. Of these, pairs
-within the radius are verified exactly: the weight of the n-grams that window
+within ``RADIUS`` bits meets its item in at least one block. A window may hold
+enough of an item and yet lie beyond the radius, so it also meets every item of
+its length that it shares a rare n-gram with: the rarest n-grams of an item that
+hold more than one less the threshold of its weight, of which no window that
+reaches the threshold lacks all. All these pairs are verified exactly: the weight of the n-grams that window
 and item share, over the weight of the item's, each n-gram weighing one plus
 the logarithm of its rareness among items, must reach the threshold.
 
@@ -23,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semaspark.llm.common import materialise
@@ -96,16 +99,25 @@ def find(
     window = listed.select("doc", "all", F.explode("at").alias("w")).select("doc", F.col("w.start").alias("start"), F.col("w.span").alias("span"), F.slice("all", F.col("w.start") + 1, F.col("w.span")).alias("held"))
     window = materialise(window.where("size(held) > 0").withColumn("print", fingerprint(F.col("held"))))
     # Written, lest the fingerprint be worked out again for each flip.
-    printed = materialise(item.select("item", F.size("own").alias("span"), fingerprint(F.col("own")).alias("print")))
+    printed = materialise(item.select("item", F.size("own").alias("span"), fingerprint(F.col("own")).alias("item_print")))
     flips = [0, *[sum(1 << b for b in c) for k in range(1, FLIPS + 1) for c in combinations(range(11), k)]]
     item_side = printed.select(
-        "item", "span", F.col("print").alias("item_print"),
+        "item", "span", "item_print",
         F.explode(F.concat(*[_near(i, s, width, flips) for i, (s, width) in enumerate(BLOCKS)])).alias("block"),
     ).distinct()
     doc_side = window.select("doc", "start", "span", "print", F.explode(F.array(*[_tag(i, _block(F.col("print"), s, width)) for i, (s, width) in enumerate(BLOCKS)])).alias("block"))
     apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = doc_side.join(light(item_side), ["block", "span"]).where(apart <= RADIUS).select("doc", "start", "span", "item", apart.alias("distance")).distinct()
+    close = doc_side.join(light(item_side), ["block", "span"]).where(apart <= RADIUS).select("doc", "start", "span", "item", apart.alias("distance"))
     weight = placed.groupBy("gram").agg(F.count_distinct("item").alias("df")).select("gram", (F.lit(1.0) + F.log(F.lit(float(max(total, 1))) / F.col("df"))).alias("weight"))
+    # The rarest n-grams of an item, until those after them weigh less than the threshold.
+    own = placed.select("item", "span", "gram").distinct().join(weight, "gram")
+    by = Window.partitionBy("item")
+    later = F.sum("weight").over(by.orderBy("weight", F.desc("gram")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rare = own.select("item", "span", "gram", later.alias("rest"), F.sum("weight").over(by).alias("full")).where(F.col("rest") >= F.col("full") * (threshold - 1e-9))
+    rare = materialise(rare.select("item", "span", "gram"))
+    held = window.select("doc", "start", "span", "print", F.explode(F.array_distinct("held")).alias("gram"))
+    met = held.join(light(rare), ["gram", "span"]).select("doc", "start", "span", "print", "item").distinct().join(light(printed.select("item", "item_print")), "item")
+    near = close.unionByName(met.select("doc", "start", "span", "item", apart.alias("distance"))).distinct()
     weighed = item.join(placed.join(weight, "gram").groupBy("item").agg(F.map_from_entries(F.collect_set(F.struct("gram", "weight"))).alias("weights")), "item")
     pairs = near.join(window.select("doc", "start", "span", "held"), ["doc", "start", "span"]).join(light(weighed.select("item", "own", "weights")), "item")
     weigh = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, g: acc + F.element_at("weights", g))
@@ -120,7 +132,7 @@ def _tag(i: int, block: Column) -> Column:
 
 def _near(i: int, start: int, width: int, flips: list[int]) -> Column:
     listed = F.split(F.lit(",".join(str(x) for x in flips if x < 1 << width)), ",")
-    return F.transform(listed, lambda x: _tag(i, _block(F.col("print"), start, width).bitwiseXOR(x.cast("bigint"))))
+    return F.transform(listed, lambda x: _tag(i, _block(F.col("item_print"), start, width).bitwiseXOR(x.cast("bigint"))))
 
 
 def screen(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:

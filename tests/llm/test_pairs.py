@@ -150,3 +150,27 @@ def test_decontamination_query_against_brute_force(spark, sf):
         full = sorted(i for i, s in items.items() if s <= own)
         assert set(map(str, full)) <= set(filter(None, got[r.doc_id].split(",")))
         assert all(len(items[int(i)] & own) >= 0.7 * len(items[int(i)]) for i in filter(None, got[r.doc_id].split(",")))
+
+
+def test_decontamination_loses_no_edited_item(spark):
+    """Copies with edited words, some far apart as fingerprints, against exact weights."""
+    import math
+
+    rng = random.Random(11)
+    items, docs = [], []
+    for i in range(300):
+        own = [f"u{i}x{k}" for k in range(rng.randint(50, 60))]
+        items.append((i, " ".join(own)))
+        for at in (rng.randrange(5, 20), rng.randrange(25, 45))[: rng.randint(1, 2)]:
+            own[at] = "edited"
+        docs.append((i, " ".join(["before", *own, "after"])))
+    grams = lambda t: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)}
+    df = {}
+    for _, t in items:
+        for g in grams(t):
+            df[g] = df.get(g, 0) + 1
+    weigh = lambda gs: sum(1 + math.log(len(items) / df[g]) for g in gs)
+    want = {i for (i, t), (_, d) in zip(items, docs, strict=True) if weigh(grams(t) & grams(d)) >= 0.8 * weigh(grams(t))}
+    found = decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc for r in found if r.doc == r.item} == want and len(want) > 200
+    assert any(r.distance > decontam.RADIUS for r in found)
