@@ -46,6 +46,8 @@ _LONG = re.compile(r"([^\W\d_])\1\1")
 _INNER = re.compile(r"[^\W\d_][ ._*~·-]+[^\W\d_]")
 _RUN = re.compile(r"(.)\1+")
 _DOUBLE = re.compile(r"(.)\1", re.IGNORECASE)
+#: Signs around words that stand for no letter.
+_EDGE = ".,;:?\"')[]{}<>#%&~-_ "
 _CLEAN = re.compile(r"([^\W\d_]+)[.,;:?]*")
 
 #: Tokens that a worker remembers before it starts anew.
@@ -116,16 +118,14 @@ class CharModel:
                         key, q, t = (y, z, s), p + cost + float(logp[x, y, z, s]), text + out
                     if key not in new or q > new[key][0]:
                         new[key] = (q, t)
-            if len(new) > 64:
-                new = dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:64])
             states = new
         return max((p + float(logp[x, y, z, 0]), t) for (x, y, z), (p, t) in states.items())[1].strip()
 
 
 def doubtful(token: str) -> bool:
-    """Whether a token has signs of disguise: look-alikes, threefold letters or
-    separators among its letters."""
-    core = token.strip(".,;:?\"'()[]{}<>#%&*~-_!$ ")
+    """Whether a token has signs of disguise: look-alikes, also as its first or
+    last sign, threefold letters or separators among its letters."""
+    core = token.strip(_EDGE)
     return bool(_LONG.search(core)) or bool(_LETTERS.search(core)) and (bool(_SIGNS.search(core)) or bool(_INNER.search(core)))
 
 
@@ -178,9 +178,16 @@ class Restorer:
 
 
 def restore(text: str | None, model: CharModel) -> str:
-    """The text with each doubtful token replaced by its likeliest reading."""
-    text = _SPACED.sub(lambda m: model.read(m[0]), text or "")
-    return re.sub(r"\S+", lambda m: model.read(m[0]) if doubtful(m[0]) and len(m[0]) > 2 else m[0], text)
+    """The text with each doubtful token replaced by its likeliest reading; one
+    that reads as its plain word keeps the signs around it."""
+
+    def one(m: re.Match) -> str:
+        if not doubtful(m[0]) or len(m[0]) <= 2:
+            return m[0]
+        read = model.read(m[0])
+        return m[0] if read == "".join(map(fold, m[0].strip(_EDGE + "(*!$"))) else read
+
+    return re.sub(r"\S+", one, _SPACED.sub(lambda m: model.read(m[0]), text or ""))
 
 
 def learn_characters(df: DataFrame, text: str = "text") -> CharModel:

@@ -92,3 +92,43 @@ def test_toxicity_without_labels(spark, model):
     out = toxicity.score(df, model, scorer, keep=["doc_id"], restored=True).collect()
     assert [r.score for r in out] == [0.0] * 3 and {r.restored for r in out} == {"x", ""}
     assert toxicity.score(df.limit(0), model, scorer).count() == 0
+
+
+@pytest.mark.parametrize(("token", "word"), [("$tupid", "stupid"), ("!diot", "idiot"), ("(lown", "clown"), ("*diot", "idiot"), ("stupid$", "stupids")])
+def test_disguise_at_the_edges(token, word):
+    own = toxicity.CharModel(toxicity.count_grams(["the stupid idiot and the clown saw stupids " * 50]))
+    assert toxicity.doubtful(token)
+    assert word in toxicity.Restorer(own, frozenset([word])).words(token)
+    assert word in toxicity.restore(f"an {token}", own)
+    assert toxicity.restore("(the clown!", own) == "(the clown!"
+
+
+def test_reading_is_the_likeliest_of_all():
+    """Long runs of signs with many contexts, against the search of all readings."""
+    own = toxicity.CharModel(toxicity.count_grams(["a bee or an ox is in us at one inn " * 3]))
+    logp = own.logp
+
+    def brute(token):
+        best = (-1e9, "")
+        stack = [(0, "", 0.0, (0, 0, 0), "")]
+        while stack:
+            i, text, p, (x, y, z), before = stack.pop()
+            if i == len(token):
+                best = max(best, (p + float(logp[x, y, z, 0]), text.strip()))
+                continue
+            c = token[i]
+            f = toxicity.fold(c)
+            if f.isalpha():
+                ways = [(0.0, f)] + [(-1.0, "")] * (f == before)
+            else:
+                ways = [(-2.0, o) for o in toxicity.LOOKALIKES.get(c, "")] + [(-3.0 if c in toxicity._SEPARATORS else -4.0, ""), (-2.5, " ")]
+            for cost, o in ways:
+                if not o or (o == " " and z == 0):
+                    stack.append((i + 1, text, p + cost, (x, y, z), f))
+                else:
+                    s = toxicity._symbol(o)
+                    stack.append((i + 1, text + o, p + cost + float(logp[x, y, z, s]), (y, z, s), f))
+        return best
+
+    for token in ("b****", "*****x", "i***s"):
+        assert own.read(token) == brute(token)[1]
