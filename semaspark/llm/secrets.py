@@ -7,7 +7,11 @@ uniformity, a runs test about the middle and a lag-1 serial correlation test
 are combined by Fisher's method. How far ordinary text of that length and
 alphabet looks random is not assumed but measured: all texts, cut into windows
 of each length class, take the same tests, and the share of windows that look
-as random is the candidate's p-value. Benjamini-Hochberg over all candidates of
+as random is the candidate's p-value. The rest of a text gives the windows that
+fit, and what is left of the texts of a batch is joined and cut likewise, so all
+but under 20 letters and digits of a batch count. A class without windows takes
+the p-values of the next shorter class, in which chance makes more text look
+random, and 1 if that has none either. Benjamini-Hochberg over all candidates of
 the corpus, with these p-values by length class and alphabet, keeps the rate of
 false discoveries below ``rate``.
 
@@ -133,7 +137,7 @@ def spans(text: str | None) -> list[tuple[int, int, int, int]]:
             reach = max(reach, base[i][2])
             i += 1
         run = m[0].rstrip("=")
-        if reach > s or len(set(run)) < 2 or not any(c.isdigit() for c in run):
+        if reach > s or len(set(run)) < 2:
             continue
         a = _alphabet(run)
         codes = np.array([[_CODE[a].get(c, 63) for c in run]])
@@ -148,23 +152,39 @@ for _i, _c in enumerate(ALPHABETS[4][:62]):
 
 def text_windows(texts: list[str | None]) -> np.ndarray:
     """Counts of text windows by cell. Each text, without all but letters and
-    digits, is cut into windows of the length classes in turn; each window is
-    tested under each alphabet, into which its characters are folded."""
+    digits, is cut into windows of the length classes in turn, as long as they
+    fit; what is left of all texts is joined and cut again, the last of it into
+    the longest classes that fit. Each window is tested under each alphabet,
+    into which its characters are folded."""
     counts = np.zeros(CELLS, dtype=np.int64)
     block = sum(LENGTHS)
-    rows = []
+    cut: list[list[np.ndarray]] = [[] for _ in LENGTHS]
+
+    def take(codes: np.ndarray) -> np.ndarray:
+        n, at = len(codes) // block, 0
+        whole, codes = codes[: n * block].reshape(n, block), codes[n * block :]
+        for own, length, end in zip(cut, LENGTHS, np.cumsum(LENGTHS).tolist(), strict=True):
+            if n:
+                own.append(whole[:, end - length : end])
+            if at == end - length and len(codes) >= end:
+                own.append(codes[None, at:end])
+                at = end
+        return codes[at:]
+
+    left = [np.zeros(0, dtype=np.uint8)]
     for t in texts:
         raw = np.frombuffer((t or "").encode("latin-1", "ignore"), dtype=np.uint8)
         codes = _LETTER[raw]
-        codes = codes[codes < 255]
-        if n := len(codes) // block:
-            rows.append(codes[: n * block].reshape(n, block))
-    if not rows:
-        return counts
-    codes, at = np.concatenate(rows).astype(np.int16), 0
-    for size, length in enumerate(LENGTHS):
-        own = codes[:, at : at + length]
-        at += length
+        left.append(take(codes[codes < 255]))
+    last = take(np.concatenate(left))
+    while len(last) >= LENGTHS[0]:
+        size = max(i for i, n in enumerate(LENGTHS) if n <= len(last))
+        cut[size].append(last[None, : LENGTHS[size]])
+        last = last[LENGTHS[size] :]
+    for size, rows in enumerate(cut):
+        if not rows:
+            continue
+        own = np.concatenate(rows).astype(np.int16)
         lower = np.where(own < 26, own, np.where(own < 52, own - 26, own - 26))
         for a, k in enumerate(_K):
             folded = own if a == 4 else lower % k
@@ -178,6 +198,9 @@ def accepted(null: np.ndarray, found: dict[int, int], rate: float) -> list[int]:
     if not found:
         return []
     upto = np.cumsum(null.reshape(-1, BINS), 1)
+    for row in range(len(upto)):
+        if row % len(LENGTHS) and not upto[row, -1]:
+            upto[row] = upto[row - 1]  # the next shorter class of the alphabet
     p = ((upto + 1) / (upto[:, -1:] + 1)).reshape(-1)
     cells = sorted(found, key=lambda c: p[c])
     total, seen, last = sum(found.values()), 0, 0

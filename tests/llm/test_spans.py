@@ -110,3 +110,31 @@ def test_random_keys_are_found_and_masked(spark):
 
 def test_mask_merges_overlaps():
     assert secrets.mask("abcdefghij", [{"start": 1, "end": 4}, {"start": 2, "end": 3}, {"start": 6, "end": 8}]) == f"a{secrets.MASK}ef{secrets.MASK}ij"
+
+
+def test_rests_and_short_texts_give_windows():
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+    per = lambda texts: secrets.text_windows(texts).reshape(len(secrets.ALPHABETS), len(secrets.LENGTHS), -1).sum(2)
+    assert per([letters(180)]).tolist() == [[1] * 5] * 5
+    assert per([letters(300)]).tolist() == [[2, 2, 2, 2, 1]] * 5  # 120 more: 20, 24, 32, 40
+    assert per([letters(18)] * 10).tolist() == [[1] * 5] * 5
+    assert per([letters(100)]).sum(1).tolist() == [4] * 5  # 20, 24, 32 and of 24 left one of 24
+    assert per(["", None, "é!", letters(19)]).sum() == 0
+
+
+def test_class_without_windows_takes_the_next_shorter():
+    null = np.zeros(secrets.CELLS, dtype=np.int64)
+    null[100] = 1000  # digits, 20 long
+    long = 4 * secrets.BINS  # digits, 64 long
+    assert secrets.accepted(null, {long + 5: 3, long + 110: 3}, 0.05) == [long + 5]
+    assert secrets.accepted(np.zeros(secrets.CELLS, dtype=np.int64), {long + 5: 3}, 0.05) == []
+
+
+def test_letter_keys_in_short_records_are_found(spark):
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice(secrets.ALPHABETS[4][:52]) for _ in range(40))
+    words = ["ordinary", "words", "make", "sentences", "about", "many", "things", "and", "others"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(12))) for i in range(3000)] + [(9000 + i, f"key {key()} end") for i in range(40)]
+    out = {r.doc_id: r.secrets for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), keep=["doc_id"]).collect()}
+    assert sum(bool(out[9000 + i]) for i in range(40)) >= 30 and not any(out[i] for i in range(3000))
