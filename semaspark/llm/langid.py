@@ -8,7 +8,8 @@ language that needs fewest bits wins.
 
 The labelled text is a bounded sample: about ``train_docs`` documents of each
 language by a hash of their ids, at most ``train_chars`` characters of each
-language in all. Whole texts are identified, in lanes of ``LANE`` characters
+language in all. All letters of that text are told apart, in any number of
+scripts; a letter that a language's text lacks ends a phrase in it. Whole texts are identified, in lanes of ``LANE`` characters
 that are parsed side by side; a phrase also ends where its lane does.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; languages
@@ -33,14 +34,12 @@ from pyspark.sql import types as T
 from semaspark.llm.common import map_rows
 
 LANE = 256
-#: Symbols besides letters: 0 is any run of other characters.
-SYMBOLS = 64
+#: Entries of a table state x symbol; automata with more are kept sparse.
+DENSE = 8_000_000
 
 
-def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """Suffix automaton of ``text`` as a table state x symbol. An entry is the
-    next state times two; where the phrase can't be continued it leads to the
-    state of the symbol alone, plus one to count the new phrase."""
+def _states(text: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of ``text``."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -66,6 +65,17 @@ def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
+    return nxt
+
+
+def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
+    """Suffix automaton of ``text`` as a table state x symbol. An entry is the
+    next state times two; where the phrase can't be continued it leads to the
+    state of the symbol alone, plus one to count the new phrase."""
+    return _dense(_states(text), symbols)
+
+
+def _dense(nxt: list[dict[int, int]], symbols: int) -> np.ndarray:
     start = np.zeros(symbols, dtype=np.int32)
     for c, q in nxt[0].items():
         start[c] = q
@@ -76,8 +86,40 @@ def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
     return table
 
 
+class Automaton:
+    """A suffix automaton over the symbols of its own text, as a table while
+    that has ``DENSE`` entries at most, or else as sorted transitions, of which
+    there are three to a symbol of the text at most."""
+
+    def __init__(self, text: np.ndarray, symbols: int):
+        nxt, own = _states(text), np.unique(text)
+        # Symbols that the text lacks share the last number.
+        self.of = np.full(symbols, len(own), dtype=np.int32)
+        self.of[own] = np.arange(len(own))
+        self.symbols = len(own) + 1
+        nxt = [{int(self.of[c]): q for c, q in out.items()} for out in nxt]
+        self.table: np.ndarray | None = None
+        if len(nxt) * self.symbols <= DENSE:
+            self.table = _dense(nxt, self.symbols).reshape(-1)
+            return
+        self.start = np.zeros(self.symbols, dtype=np.int32)
+        for c, q in nxt[0].items():
+            self.start[c] = q
+        keys = [(p * self.symbols + c, q) for p, out in enumerate(nxt) for c, q in sorted(out.items())]
+        self.keys = np.array([k for k, _ in keys], dtype=np.int64)
+        self.to = np.array([q for _, q in keys], dtype=np.int32)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Entries, as of ``automaton``, for states and symbols of ``of``."""
+        if self.table is not None:
+            return self.table[state * self.symbols + code]
+        key = state.astype(np.int64) * self.symbols + code
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at] * 2, self.start[code] * 2 + 1)
+
+
 class Model:
-    """Automata of some languages over a shared set of letters."""
+    """Automata of some languages over the letters of all."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
@@ -86,14 +128,14 @@ class Model:
             for c in t.lower():
                 if c.isalpha():
                     seen[c] = seen.get(c, 0) + 1
-        letters = sorted(seen, key=lambda c: (-seen[c], c))[: SYMBOLS - 2]
+        letters = sorted(seen, key=lambda c: (-seen[c], c))
         self.code = {c: i + 1 for i, c in enumerate(letters)}
         self.symbols = len(letters) + 2  # the last: letters that aren't in any labelled text
-        self.tables: list[np.ndarray] = []
+        self.tables: list[Automaton] = []
         self.bits: list[float] = []
         for lang in self.langs:
             codes, _ = self.encode([texts[lang]])
-            self.tables.append(automaton(codes, self.symbols).reshape(-1))
+            self.tables.append(Automaton(codes, self.symbols))
             self.bits.append(math.log2(max(2, len(codes))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +166,7 @@ class Model:
         at, left = at[order], left[order]
         out = np.zeros((len(texts), len(self.langs)))
         for k, table in enumerate(self.tables):
-            state = np.zeros(len(at), dtype=np.int32)
+            state, own = np.zeros(len(at), dtype=np.int32), table.of[codes]
             count = np.ones(len(at), dtype=np.int64)
             open_ = len(at)
             for j in range(LANE):
@@ -132,7 +174,7 @@ class Model:
                     open_ = int(np.searchsorted(-left, -j, side="left"))
                 if not open_:
                     break
-                got = table[state[:open_] * self.symbols + codes[at[:open_] + j]]
+                got = table.step(state[:open_], own[at[:open_] + j])
                 count[:open_] += got & 1
                 state[:open_] = got >> 1
             out[:, k] = np.bincount(owner[order], weights=count, minlength=len(texts))
@@ -159,7 +201,7 @@ class Model:
 def _lookup(codes: tuple[tuple[str, int], ...], other: int) -> tuple[np.ndarray, None]:
     """Symbol of every code point, in lower case."""
     of = dict(codes)
-    out = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+    out = np.zeros(sys.maxunicode + 1, dtype=np.int32)
     for i in range(sys.maxunicode + 1):
         c = chr(i)
         if c.isalpha():

@@ -132,3 +132,24 @@ def test_reading_is_the_likeliest_of_all():
 
     for token in ("b****", "*****x", "i***s"):
         assert own.read(token) == brute(token)[1]
+
+
+def _scripts():
+    """Languages of five scripts, two of them of one; rarer ones beyond the commonest 62 letters."""
+    rng = np.random.default_rng(2)
+    alphabets = {"en": range(97, 123), "ru": range(0x430, 0x450), "el": range(0x3B1, 0x3CA), "zh": range(0x4E00, 0x5200), "ja": range(0x5200, 0x5600), "ka": range(0x10D0, 0x10F1)}
+    words = {k: ["".join(chr(c) for c in rng.choice(list(a), 4)) for _ in range(150)] for k, a in alphabets.items()}
+    return {k: (" ".join(rng.choice(w, 3000 if k in ("en", "ru") else 400)), [" ".join(rng.choice(w, 8)) for _ in range(20)]) for k, w in words.items()}
+
+
+def test_languages_of_several_scripts(monkeypatch):
+    texts = _scripts()
+    model = langid.Model({k: t for k, (t, _) in texts.items()})
+    held = [(k, t) for k, (_, own) in texts.items() for t in own]
+    got, score = model.identify([t for _, t in held])
+    assert got == [k for k, _ in held]
+    monkeypatch.setattr(langid, "DENSE", 0)
+    sparse = langid.Model({k: t for k, (t, _) in texts.items()})
+    assert all(t.table is None for t in sparse.tables)
+    again, same = sparse.identify([t for _, t in held])
+    assert again == got and np.array_equal(same, score)
