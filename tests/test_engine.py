@@ -213,3 +213,20 @@ def test_queries_match_their_oracles(spark, sf, name):
 def test_every_query_has_a_sound_name():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries()) and len(catalogue.queries()) > 65
     assert SemanticQuery("x", ("y",)).limit is None
+
+
+def test_values_beyond_the_first_ten_thousand_are_found(spark):
+    from semaspark.agent.questions import Asker, Scenario
+
+    class Values:
+        def distinct_values(self, explore, name):
+            names = spark.range(30_000).selectExpr("concat('Customer ', lpad(id, 6, '0')) AS customers__name")
+            return names.unionByName(spark.createDataFrame([(" ZEBRA Ltd ",), ("zebra ltd",), (None,)], "customers__name string"))
+
+    one = Asker.__new__(Asker)
+    one.planner, one.scenario, one._values = Values(), Scenario(), {}
+    assert one._resolve_value("orders", "customers.name", "Zebra LTD") == (" ZEBRA Ltd ", "zebra ltd")
+    assert one._resolve_value("orders", "customers.name", "customer 029999") == ("Customer 029999",)
+    assert one._resolve_value("orders", "customers.name", "nobody") == ("nobody",)
+    one.scenario, one._values = Scenario(fuzzy_values=True), {}
+    assert one._resolve_value("orders", "customers.name", "zebra ltt") == (" ZEBRA Ltd ", "zebra ltd")
