@@ -30,8 +30,9 @@ from semaspark.llm.common import map_rows
 # The byte-level pre-tokenisation pattern of the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pre-tokens, and as many parts of texts, that a worker remembers before it starts anew.
-MEMO = 400_000
+#: Bytes, about, of pre-tokens that a task remembers before it starts anew, and
+#: the longest pre-token, in characters, that is remembered at all.
+MEMO, LONGEST = 32 << 20, 64
 
 #: Ends a word in the text that is searched for longest matches; no byte has it.
 BREAK = "\u0100"
@@ -53,12 +54,27 @@ def _byte_alphabet() -> dict[str, int]:
     return out
 
 
+def _refuse_others(spec: dict) -> None:
+    """Raise unless the file says what this class does."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    said = {
+        "a normalizer": spec.get("normalizer"),
+        "another pre-tokenizer than ByteLevel": pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True),
+        "another decoder than ByteLevel": (spec.get("decoder") or {}).get("type") != "ByteLevel",
+        "another model than plain BPE": model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "added tokens that aren't special, or strip or normalise": any(not x.get("special") or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", [])),
+    }
+    if found := [k for k, v in said.items() if v]:
+        raise ValueError(f"this tokenizer file has {', '.join(found)}")
+
+
 class ByteBpe:
     """A byte-level BPE vocabulary from a tokenizers JSON file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _refuse_others(spec)
         of = _byte_alphabet()
         raw = lambda s: bytes(of[c] for c in s)
         vocab = {raw(k): v for k, v in spec["model"]["vocab"].items()}
@@ -96,8 +112,8 @@ class ByteBpe:
         self._blob = np.frombuffer(b"".join(named.get(i, b"") for i in range(len(sizes))), dtype=np.uint8)
         self.pre = regex.compile(PATTERN)
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self._memo: dict[str, bytes] = {}  # of parts that follow a space, without it
-        self._words: dict[str, bytes] = {}  # of pre-tokens
+        self._memo: dict[str, bytes] = {}  # ids of pre-tokens
+        self._held = 0  # bytes of the memo, about
 
     def _merge(self, word: bytes) -> list[int]:
         """Exact merging: the lowest-ranked pair first, leftmost on ties."""
@@ -203,14 +219,21 @@ class ByteBpe:
         return out
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of texts without special tokens, through the memo of words."""
-        words, memo = list(map(self.pre.findall, pieces)), self._words
-        new = list(set().union(*words).difference(memo))
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(set().union(*words))
-        memo.update(zip(new, self.encode_words(new), strict=True))
-        return [b"".join([memo[w] for w in ws]) for ws in words]
+        """The ids of texts without special tokens, through the memo."""
+        cut = list(map(self.pre.findall, pieces))
+        if self._held > MEMO:
+            self.forget()
+        memo = self._memo
+        new = list(set().union(*cut).difference(memo))
+        ids = dict(zip(new, self.encode_words(new), strict=True))
+        out = [b"".join([memo.get(w) or ids[w] for w in ws]) for ws in cut]
+        memo.update((k, v) for k, v in ids.items() if len(k) <= LONGEST)
+        self._held += 200 * len(new) + sum(map(len, ids.values()))
+        return out
+
+    def forget(self) -> None:
+        """Give the memo's memory back."""
+        self._memo, self._held = {}, 0
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, as the tokenizers library gives them.
@@ -219,7 +242,6 @@ class ByteBpe:
         between two characters of which the second is no white space: pre-tokens
         never cross these cuts.
         """
-        memo = self._memo
         plan: list[list[tuple[str, list[str]] | int]] = []
         for text in texts:
             text, at, row = text or "", 0, []
@@ -230,15 +252,10 @@ class ByteBpe:
             plan.append(row)
         cut = [x for row in plan for x in row if not isinstance(x, int)]
         heads = list(dict.fromkeys(x[0] for x in cut))
-        every = set().union(*[x[1] for x in cut])
-        new = list(every.difference(memo))
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(every)
-        ids = self._encode_pieces([*heads, *[" " + x for x in new]])
-        first = dict(zip(heads, ids[: len(heads)], strict=True))
-        memo.update(zip(new, ids[len(heads) :], strict=True))
-        get, out = memo.__getitem__, []
+        tails = list(set().union(*[x[1] for x in cut]))
+        ids = self._encode_pieces([*heads, *[" " + x for x in tails]])
+        first, after = dict(zip(heads, ids, strict=False)), dict(zip(tails, ids[len(heads) :], strict=True))
+        out = []
         for row in plan:
             got = []
             for x in row:
@@ -246,7 +263,7 @@ class ByteBpe:
                     got.append(np.int32(x).tobytes())
                 else:
                     got.append(first[x[0]])
-                    got += map(get, x[1])
+                    got += map(after.__getitem__, x[1])
             out.append(np.frombuffer(b"".join(got), dtype=np.int32))
         return out
 
@@ -295,7 +312,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
         bpe = load(path)
         return lambda b: [_list(bpe.encode(b.column(text).to_pylist()))]
 
-    return map_rows(df, list(dict.fromkeys([*keep, text])), [IDS], work, 512)
+    return map_rows(df, list(dict.fromkeys([*keep, text])), [IDS], work, 512, lambda: load(path).forget())
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -324,4 +341,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | N
 
         return step
 
-    return map_rows(df, list(dict.fromkeys([*keep, text])), [IDS, DECODED], work, 512)
+    return map_rows(df, list(dict.fromkeys([*keep, text])), [IDS, DECODED], work, 512, lambda: load(path).forget())

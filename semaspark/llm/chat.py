@@ -7,7 +7,7 @@ of a longer one is a snapshot of it, and an anti-join drops it; of equal
 conversations the one with the smallest id stays. What remains is rendered.
 Built-in functions only.
 
-Cases: turns are ordered by ``turn``, then role and text; a null role or text
+Cases: turns are ordered by ``turn``, then role and text, null ones as empty; a null role or text
 differs from the empty one and is rendered as the empty one; repeated rows are
 turns of their own; rows with a null conversation id or turn are left out; an
 empty table gives an empty table; other columns don't matter.
@@ -18,17 +18,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semaspark.llm.common import materialise
+from semaspark.llm.common import materialise, tidy
 
 
 def collapse(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Maximal conversations: ``conv``, ``n_turns`` and ``copies`` (conversations
     equal to it, itself included)."""
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).where("conv is not null and turn is not null")
-    # Skinny rows: texts become hashes before anything is shuffled.
+    # Skinny rows: texts become hashes before anything is shuffled, but for those of tied turns.
+    tied = materialise(rows.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("conv", "turn", F.lit(True).alias("tied")))
     said = F.struct(F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
-    rows = rows.select("conv", "turn", F.xxhash64(F.lit(1), said).alias("a"), F.xxhash64(F.lit(2), said).alias("b"))
-    order = Window.partitionBy("conv").orderBy("turn", "a", "b")
+    rows = rows.select("conv", "turn", "role", "text", F.xxhash64(F.lit(1), said).alias("a"), F.xxhash64(F.lit(2), said).alias("b"))
+    if tied.isEmpty():
+        rows = rows.select("conv", "turn", "a", "b")
+        order = Window.partitionBy("conv").orderBy("turn")
+    else:
+        rows = rows.join(tied, ["conv", "turn"], "left").select("conv", "turn", F.when(F.col("tied"), F.coalesce("role", F.lit(""))).alias("role"), F.when(F.col("tied"), F.coalesce("text", F.lit(""))).alias("text"), "a", "b")
+        order = Window.partitionBy("conv").orderBy("turn", "role", "text", "a", "b")
     placed = rows.withColumn("k", F.row_number().over(order))
     mark = placed.select("conv", "k", F.xxhash64(F.lit(3), "k", "a", "b").alias("x"), F.xxhash64(F.lit(4), "k", "b", "a").alias("y"))
     upto = Window.partitionBy("conv").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
@@ -50,6 +56,7 @@ def render(turns: DataFrame, keep: DataFrame, conv: str = "conv_id", turn: str =
     return keep.join(gathered, "conv").select("conv", "n_turns", "copies", F.array_join(F.col("turns.said"), "").alias("rendered"))
 
 
+@tidy
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Maximal conversations, rendered."""
     kept = materialise(collapse(turns, conv, turn, role, text))

@@ -2,24 +2,59 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _shipped: set[str] = set()
 
 
+#: The prefix of inner column names, which no table is expected to use.
+OWN = "__semaspark_"
+#: Column that carries a row's own columns through an operator.
+ROW = OWN + "row"
+
+
+def carry(df: DataFrame, keep: Iterable[str]) -> Column:
+    """The columns ``keep`` as one struct, so that no name of theirs meets a
+    name of the operator's; ``carried`` takes them out again."""
+    return F.struct(F.lit(0).alias(OWN + "none"), *[df[f"`{c}`"].alias(c) for c in keep]).alias(ROW)
+
+
+def carried(keep: Iterable[str]) -> list[Column]:
+    return [F.col(ROW)[c].alias(c) for c in keep]
+
+
+def release() -> None:
+    """Give freed memory of this Python worker back: workers are used again, and
+    what one stage leaves would add to the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package once per application."""
+    """Give the executors this package once per application. Arrow batches hold
+    2,048 rows then, if the session leaves Spark's default of 10,000: rows here
+    are whole texts."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch, "10000") == "10000":
+        spark.conf.set(batch, "2048")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -33,9 +68,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
+    """The folder that the driver and all executors share. Where the session
+    names none, a session on one machine gets a folder of its own; a cluster
+    must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "semaspark-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,21 +82,53 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write to the shared folder as Parquet and read it back: cuts lineage
-    and survives lost executors. The caller may drop it with ``discard``."""
+    and survives lost executors. ``tidy`` or ``discard`` delete it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/semaspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths written within each ``tidy`` that is open.
+_written: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if path.getName().startswith("semaspark-"):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        folder = f.rsplit("/", 1)[0]
+        if folder.rsplit("/", 1)[-1].startswith("semaspark-"):
+            _delete(df.sparkSession, folder)
+
+
+def tidy(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that leaves only those written tables behind that its result
+    reads. The tables of an inner operator are the outer one's to delete."""
+
+    @wraps(make)
+    def made(*args, **how) -> DataFrame:
+        _written.append([])
+        try:
+            out = make(*args, **how)
+            used = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in out.inputFiles()}
+        except BaseException:
+            _written.pop()
+            raise
+        for path in (own := _written.pop()):
+            if path.rsplit("/", 1)[-1] not in used:
+                _delete(out.sparkSession, path)
+        if _written:
+            _written[-1] += [p for p in own if p.rsplit("/", 1)[-1] in used]
+        return out
+
+    return made
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +141,13 @@ def map_rows(
     added: list[T.StructField],
     work: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
     rows: int = 1024,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Append columns computed from Arrow batches of at most ``rows`` rows.
 
     ``columns`` are kept as they are; ``work()`` runs once per task and returns
-    a function from a batch to one array per added field.
+    a function from a batch to one array per added field; ``done()`` runs at the
+    task's end.
     """
     ship_package(df.sparkSession)
     kept = df.select(*[F.col(f"`{c}`") for c in columns])
@@ -83,10 +156,16 @@ def map_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
-        for big in batches:
-            for i in range(0, big.num_rows, rows):
-                b = big.slice(i, rows)
-                yield pa.RecordBatch.from_arrays([*b.columns, *step(b)], names=names)
+        try:
+            for big in batches:
+                for i in range(0, big.num_rows, rows):
+                    b = big.slice(i, rows)
+                    yield pa.RecordBatch.from_arrays([*b.columns, *step(b)], names=names)
+        finally:
+            step = big = b = None
+            if done:
+                done()
+            release()
 
     return kept.mapInArrow(run, schema)
 
@@ -106,22 +185,26 @@ def map_groups(
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, rest = work(), None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            if not rest.num_rows:
-                continue
-            at = [rest.column(k).to_numpy() for k in keys]
-            new = np.zeros(rest.num_rows, dtype=bool)
-            for c in at:
-                new[1:] |= c[1:] != c[:-1]
-            cuts = [0, *np.flatnonzero(new).tolist()]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                yield from step(rest.slice(i, j - i)).to_batches()
-            rest = rest.slice(cuts[-1])
-        if rest is not None and rest.num_rows:
-            yield from step(rest).to_batches()
+        step, rest, t, b = work(), None, None, None
+        try:
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                rest = t if rest is None else pa.concat_tables([rest, t])
+                if not rest.num_rows:
+                    continue
+                at = [rest.column(k).to_numpy() for k in keys]
+                new = np.zeros(rest.num_rows, dtype=bool)
+                for c in at:
+                    new[1:] |= c[1:] != c[:-1]
+                cuts = [0, *np.flatnonzero(new).tolist()]
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    yield from step(rest.slice(i, j - i)).to_batches()
+                rest = rest.slice(cuts[-1])
+            if rest is not None and rest.num_rows:
+                yield from step(rest).to_batches()
+        finally:
+            step = rest = t = b = None
+            release()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

@@ -11,9 +11,11 @@ Vectors with equal components are one class from the start. Links of classes
 count each copy. Connected components are found over spanning forests of tiles.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite
-components link with nothing; vectors of different length don't link; rows with
-null ids are kept with a null component; repeated rows are links of each other;
-an empty table gives an empty table; other columns don't matter.
+components link with nothing; vectors of different length don't link; an id that
+several vectors share is no bond between them, each row is judged by its own
+vector; rows with null ids take part, and a component of such rows alone is
+null; repeated rows are links of each other; an empty table gives an empty
+table; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semaspark.llm.common import components, forest, map_groups, map_rows, materialise, tiles
+from semaspark.llm.common import components, forest, map_groups, map_rows, materialise, tidy, tiles
 
 TABLES = 8
 HASHES = 2
@@ -168,16 +170,19 @@ def _compare(threshold: float):
     return work
 
 
+@tidy
 def dedup(df: DataFrame, vector: str = "embedding", key: str = "vec_id", threshold: float = 0.95) -> DataFrame:
     """One row per row of ``df``: the key, ``n_links``, ``component_id`` (the
-    smallest key that links lead to, its own included) and ``kept``."""
-    vecs = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec"))
+    smallest key that links lead to, its own included) and ``kept`` (the key is
+    its component's)."""
+    vecs = df.select(df[f"`{key}`"].cast("long").alias("id"), df[f"`{vector}`"].alias("vec"))
     added = [T.StructField("p1", T.LongType()), T.StructField("p2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     every = materialise(map_rows(vecs, ["id", "vec"], added, _hash(), 4096))
+    # A class of equal vectors has a number that is unique, and stays as it is once written.
     classes = materialise(
-        every.where("keys is not null and id is not null").groupBy("p1", "p2")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.min_by(F.struct("vec", "keys"), "id").alias("s"))
-        .select("p1", "p2", "copies", "rep", "s.vec", "s.keys")
+        every.where("keys is not null").groupBy("p1", "p2")
+        .agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"), F.first(F.struct("vec", "keys")).alias("s"))
+        .select("p1", "p2", "copies", "least", "s.vec", "s.keys", F.monotonically_increasing_id().alias("rep"))
     )
     at = classes.select(F.col("rep").alias("id"), F.explode(F.array_distinct("keys")).alias("node"))
     counts = materialise(at.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
@@ -187,12 +192,15 @@ def dedup(df: DataFrame, vector: str = "embedding", key: str = "vec_id", thresho
     found = materialise(map_groups(full.select("node", "row", "col", "chunk", "id", "vec", "keys", "copies"), ["node", "row", "col"], _FOUND, _compare(threshold)))
     links = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     final = components(found.where("v is not null").select("u", "v")).select(F.col("id").alias("rep"), "component")
-    named = materialise(classes.select("p1", "p2", "rep", "copies").join(links, "rep", "left").join(final, "rep", "left"))
+    linked = materialise(classes.select("rep", "least").join(final, "rep"))
+    name = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = linked.join(name, "component").select("rep", "component_id").join(links, "rep", "left")
+    named = materialise(classes.select("p1", "p2", "rep", "copies", "least").join(known, "rep", "left"))
     out = every.select("id", "p1", "p2", F.col("keys").isNull().alias("lone")).join(named, ["p1", "p2"], "left")
-    lone = F.col("lone") | F.col("id").isNull()
+    component = F.when(F.col("lone"), F.col("id")).otherwise(F.coalesce("component_id", "least"))
     return out.select(
         F.col("id").alias(key),
-        F.when(lone, 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-        F.when(lone, F.col("id")).otherwise(F.coalesce("component", "rep")).alias("component_id"),
-        F.when(lone, True).otherwise(F.col("id") == F.coalesce("component", "rep")).alias("kept"),
+        F.when(F.col("lone"), 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.col("id").eqNullSafe(component).alias("kept"),
     )

@@ -7,10 +7,12 @@ characters, estimates the cross entropy of the text and the language. The
 language that needs fewest bits wins.
 
 The labelled text is a bounded sample: about ``train_docs`` documents of each
-language by a hash of their ids, at most ``train_chars`` characters of each
-language in all. All letters of that text are told apart, in any number of
-scripts; a letter that a language's text lacks ends a phrase in it. Whole texts are identified, in lanes of ``LANE`` characters
-that are parsed side by side; a phrase also ends where its lane does.
+language by a hash of their ids, of each document ``4 * train_chars / train_docs``
+characters in a row at most, from a place that the hash gives, and at most
+``train_chars`` characters of each language in all (fewer beyond ten languages,
+600,000 of all together). All letters of that text are told apart, in any number of
+scripts; a letter that a language's text lacks ends a phrase in it. Whole
+texts are identified, in lanes of ``LANE`` characters that are parsed side by side; a phrase also ends where its lane does.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; languages
 with equal cost go to the first by name; a table without labelled rows gives
@@ -31,9 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semaspark.llm.common import map_rows
+from semaspark.llm.common import carried, carry, map_rows
 
 LANE = 256
+#: Phrases that a text has free, and how far above naming each symbol a text of
+#: an unknown language lies.
+FREE, ABOVE = 4, 1.25
 #: Entries of a table state x symbol; automata with more are kept sparse.
 DENSE = 8_000_000
 
@@ -180,10 +185,15 @@ class Model:
             out[:, k] = np.bincount(owner[order], weights=count, minlength=len(texts))
         return out, sizes
 
-    def identify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """The language and a score of each text."""
+    @property
+    def plain(self) -> float:
+        """Bits that a symbol takes where each is named by itself."""
+        return math.log2(max(2, self.symbols))
+
+    def identify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The language, a score and the bits for each symbol of each text."""
         if not self.langs or not texts:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         count, sizes = self.phrases(texts)
         cost = count * np.array(self.bits)
         best = cost.argmin(1)
@@ -194,7 +204,9 @@ class Model:
         starts = np.cumsum(sizes) - sizes
         has = np.add.reduceat((codes > 0).astype(np.int64), starts) > 0
         langs = [self.langs[i] if h else "und" for i, h in zip(best, has, strict=True)]
-        return langs, np.where(has, score, 0.0)
+        # Beyond FREE phrases, a symbol of the text costs so many bits in the best language.
+        rate = (cost.min(1) - FREE * np.array(self.bits)[best]) / np.maximum(sizes, 1)
+        return langs, np.where(has, score, 0.0), rate
 
 
 @lru_cache(maxsize=4)
@@ -212,32 +224,36 @@ def _lookup(codes: tuple[tuple[str, int], ...], other: int) -> tuple[np.ndarray,
 def learn(df: DataFrame, usable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = 96, train_chars: int = 60_000) -> Model:
     """A model of the rows for which ``usable`` holds, from a bounded sample."""
     rows = df.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = {r[0]: r[1] for r in rows.groupBy("l").count().collect()}
-    if not counts:
-        return Model({})
-    limit = F.lit(0)
-    for name, n in counts.items():
-        limit = F.when(F.col("l") == name, math.ceil(min(1.0, train_docs / n) * (1 << 30))).otherwise(limit)
-    each = max(2_000, min(train_chars, 600_000 // len(counts)))
-    drawn = rows.where((F.xxhash64("k").bitwiseAND((1 << 30) - 1)) < limit)
+    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    place = F.xxhash64("k").bitwiseAND((1 << 30) - 1)
+    drawn = rows.join(counts, "l").where(place < F.ceil(F.least(F.lit(1.0), F.lit(train_docs) / F.col("n")) * (1 << 30)))
+    span = 4 * train_chars // train_docs + 1
+    at = F.pmod(F.xxhash64("k", F.lit(7)), F.greatest(F.length("t") - span + 1, F.lit(1))) + 1
     texts: dict[str, list[str]] = {}
-    for name, t in drawn.select("l", F.substring("t", 1, 4 * each // train_docs + 1)).orderBy("l", F.xxhash64("k"), "t").collect():
+    # About train_docs rows for each language come to the driver.
+    for name, t in drawn.select("l", F.substring("t", at.cast("int"), F.lit(span)).alias("t"), F.xxhash64("k").alias("h")).orderBy("l", "h", "t").select("l", "t").collect():
         texts.setdefault(name, []).append(t)
+    each = max(2_000, min(train_chars, 600_000 // max(1, len(texts))))
     return Model({k: "\n".join(dict.fromkeys(v))[:each] for k, v in texts.items()})
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all by default), ``lang_pred`` and ``score``."""
-    keep = [c for c in keep or df.columns if c not in ("lang_pred", "score")]
+    """``keep`` columns (all by default), ``lang_pred``, ``score`` and
+    ``known``: whether the text has letters and its phrases, but for ``FREE`` of
+    them, take less than ``ABOVE`` times the bits of its symbols one by one.
+    Texts of the languages learnt take about half; in other scripts each letter
+    is a phrase."""
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.BooleanType())]
+    keep = [c for c in keep or df.columns if c not in [f.name for f in added]]
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by learn()
 
     def work():
         def step(b: pa.RecordBatch) -> list[pa.Array]:
-            langs, score = shared.value.identify(b.column(text).to_pylist())
-            return [pa.array(langs, pa.string()), pa.array(score, pa.float64())]
+            langs, score, rate = shared.value.identify(b.column("text").to_pylist())
+            known = [x != "und" and r < ABOVE * shared.value.plain for x, r in zip(langs, rate, strict=True)]
+            return [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.bool_())]
 
         return step
 
-    named = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
-    found = map_rows(named, named.columns, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], work, 1024)
-    return found.select(*[F.col(f"`{c}`") for c in keep], "lang_pred", "score")
+    named = df.select(carry(df, keep), df[f"`{text}`"].alias("text"))
+    return map_rows(named, named.columns, added, work, 1024).select(*carried(keep), *[f.name for f in added])

@@ -29,7 +29,7 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semaspark.llm.common import materialise
+from semaspark.llm.common import carried, carry, materialise, tidy
 from semaspark.llm.decontam import let
 
 # SPDX names and the statements by which files declare them.
@@ -157,7 +157,7 @@ def match(files: DataFrame, text: str = "text", threshold: float = 0.6, path: st
     tag = F.regexp_extract(F.coalesce(body, F.lit("")), _TAG, 1)
     plain = F.regexp_replace(tag, _EDITION, "")
     piece = F.when(F.col(f"`{path}`").rlike(_FILE), body).otherwise(paragraphs(body)) if path else paragraphs(body)
-    work = files.select(*[F.col(f"`{c}`") for c in kept], header(body).alias("header"), F.when(plain.isin(list(TEMPLATES)), plain).when(tag != "", tag).alias("tag"), piece.alias("words"))
+    work = files.select(carry(files, kept), header(body).alias("header"), F.when(plain.isin(list(TEMPLATES)), plain).when(tag != "", tag).alias("tag"), piece.alias("words"))
     # Pieces are looked up by their digests.
     digest = F.when(F.col("words") != "", F.sha2("words", 256)).alias("piece")
     pieces = work.select(digest, "words").where("piece is not null")
@@ -180,9 +180,10 @@ def match(files: DataFrame, text: str = "text", threshold: float = 0.6, path: st
     nearer = F.coalesce(F.col("near.cosine") > found, F.lit(False))
     license_ = F.when(F.col("tag").isNotNull(), F.col("tag")).when(nearer, F.col("near.name")).when(found >= threshold, F.col("best.name"))
     cosine_ = F.when(F.col("tag").isNotNull(), F.lit(1.0)).when(nearer, F.col("near.cosine")).otherwise(found)
-    return work.select(*[F.col(f"`{c}`") for c in kept], license_.alias("license"), cosine_.alias("cosine"))
+    return work.select(*carried(kept), license_.alias("license"), cosine_.alias("cosine"))
 
 
+@tidy
 def scan(files: DataFrame, text: str = "text", path: str = "path", threshold: float = 0.6) -> DataFrame:
     """Columns of ``files`` but the text, with ``license``, ``cosine`` and
     ``origin``: ``own``, the directory that the licence is inherited from, or
@@ -190,7 +191,7 @@ def scan(files: DataFrame, text: str = "text", path: str = "path", threshold: fl
     kept = [c for c in files.columns if c not in ("license", "cosine", "origin", text)]
     own = match(files, text, threshold, path)
     folder = F.regexp_replace(F.col(f"`{path}`"), r"/?[^/]*$", "")
-    own = materialise(own.select(*[F.col(f"`{c}`") for c in kept], "license", "cosine", folder.alias("_dir"), F.col(f"`{path}`").rlike(_FILE).alias("_is")))
+    own = materialise(own.select(carry(own, kept), "license", "cosine", folder.alias("_dir"), F.col(f"`{path}`").rlike(_FILE).alias("_is")))
     given = own.where("_is and license is not null and _dir is not null").groupBy(F.col("_dir").alias("above"))
     given = materialise(given.agg(F.min_by("license", F.struct(-F.col("cosine"), F.col("license"))).alias("theirs")))
     # Each directory once, with all directories above it.
@@ -202,7 +203,7 @@ def scan(files: DataFrame, text: str = "text", path: str = "path", threshold: fl
     out = own.join(nearest, "_dir", "left")
     lone = F.col("license").isNull()
     return out.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *carried(kept),
         F.coalesce("license", "n.theirs").alias("license"), "cosine",
         F.when(~lone, F.lit("own")).otherwise(F.col("n.above")).alias("origin"),
     )

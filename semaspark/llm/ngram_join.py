@@ -7,31 +7,33 @@ random paths: at a node it takes each of its tokens with probability
 named by node and token; alike classes share tokens and so paths. Nodes with
 few members are compared by brute force on the tokens; larger ones are split
 on, and where nothing more separates their members, compared in tiles of
-bounded size. Runs are repeated until a pair at the threshold is found with
-probability above 0.99. Pairs whose tokens agree enough only tell which classes
+bounded size. ``runs`` says how many runs find a pair at the threshold with the
+recall asked for (0.995). Pairs whose tokens agree enough only tell which classes
 may be linked at all (a spanning forest, not the pairs); within each connected
 set of these, all pairs are verified exactly on the n-gram sets, again in tiles.
 
 Cases: null text, and text without words, links with nothing; a text of fewer
 than ``n`` words has one n-gram, all its words; repeated rows are links of each
-other; rows with null ids are kept with a null class; other columns don't
-matter. Words are runs of letters, digits and underscores in lower case.
+other; a key that several texts share is no bond between them, each row is
+judged by its own text; rows with null keys take part, and a class of such rows
+alone has a null key; other columns don't matter. Words are runs of letters,
+digits and underscores in lower case.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semaspark.llm.common import components, forest, map_groups, map_rows, materialise, tiles
+from semaspark.llm.common import ROW, carried, carry, components, forest, map_groups, map_rows, materialise, tidy, tiles
 
 TOKENS = 64
-RUNS = 8
 #: Expected children of a node: threshold' = 1 / BRANCH = 0.65.
 BRANCH = 1.54
 #: Members of a node that are compared without a further split.
@@ -39,12 +41,17 @@ SMALL = 200
 #: Members of a chunk of a tile, of tokens and of n-gram sets.
 TOKEN_CHUNK = 512
 CHUNK = 256
+#: N-grams that the sets of a chunk hold, about, where texts are long.
+CHUNK_GRAMS = 500_000
 #: Levels of a path before its nodes are counted.
 LEVELS = 2
 #: Further levels, at which large nodes are split, with their expected children.
 SPLITS = 1
 SPLIT_BRANCH = 1.25
 
+#: Bytes, about, of words that a task remembers before it starts anew.
+MEMO = 24 << 20
+
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 _MIX = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
@@ -57,21 +64,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def runs(threshold: float, recall: float) -> int:
+    """Runs that find a pair at the threshold with that recall: a path of such a
+    pair goes on to a common child for each token it follows and both share, and
+    all levels must be passed, the further splits included."""
+    passed = 1.0
+    for branch in [SPLIT_BRANCH] * SPLITS + [BRANCH] * LEVELS:
+        passed = 1 - math.exp(-threshold * branch * passed)
+    return math.ceil(math.log(1 - recall) / math.log(1 - passed))
+
+
 class Shingler:
     """N-gram sets of texts as sorted 64-bit hashes."""
 
     def __init__(self, n: int):
-        self.n, self.memo = n, {}
+        self.n, self.memo, self.held = n, {}, 0
         self.odd = [_U(pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64)) for i in range(n)]
 
     def _hash(self, words: list[str]) -> np.ndarray:
         import xxhash
 
         memo, digest = self.memo, xxhash.xxh64_intdigest
-        if len(memo) > 300_000:
+        if self.held > MEMO:
             memo.clear()
+            self.held = 0
         for w in set(words).difference(memo):
             memo[w] = digest(w)
+            self.held += 160 + len(w)
         return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -118,10 +137,10 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[np.argsort(owner, kind="stable")].view(np.int64)))
 
 
-def _embed(n: int):
+def _embed(n: int, count: int):
     def work():
         shingle = Shingler(n)
-        roots = mix(np.arange(1, RUNS + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
+        roots = mix(np.arange(1, count + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
 
         def step(b: pa.RecordBatch) -> list[pa.Array]:
             sets = [shingle(t) for t in b.column("text").to_pylist()]
@@ -133,7 +152,7 @@ def _embed(n: int):
                 tokens[full] = sketches([sets[i] for i in full])
                 prints[0, full] = [np.bitwise_xor.reduce(sets[i]) for i in full]
                 prints[1, full] = [np.add.reduce(mix(sets[i] ^ _U(7))) for i in full]
-            nodes, owner = follow(np.tile(roots, len(full)), np.repeat(full, RUNS), tokens, LEVELS)
+            nodes, owner = follow(np.tile(roots, len(full)), np.repeat(full, count), tokens, LEVELS)
             return [
                 pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.array(size),
                 pa.array([x.tobytes() for x in tokens], pa.binary()), _lists(nodes, owner, len(sets)),
@@ -265,17 +284,20 @@ def _verify(threshold: float):
     return work
 
 
-def join(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One row per row of ``df``: the key, ``n_links`` (other rows with Jaccard
-    similarity at least ``threshold``), ``class_id`` (smallest key that links
-    lead to, its own included) and ``kept`` (it is its class's)."""
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+_FIRST = "struct<none:boolean,id:bigint,h1:bigint,h2:bigint>"
+
+
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, h1, h2, p1, p2, size) and classes (p1, p2, size, first, copies,
+    links, least) of ``docs`` (id, text, h1, h2). ``first`` names the first row
+    of a class, ``least`` the first of all rows that its links lead to."""
     added = [T.StructField("p1", T.LongType()), T.StructField("p2", T.LongType()), T.StructField("size", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("nodes", T.ArrayType(T.LongType()))]
-    every = materialise(map_rows(docs, ["id", "text"], added, _embed(n), 256).drop("text"))
-    some = every.where("size > 0 and id is not null")
+    every = materialise(map_rows(docs, ["id", "h1", "h2", "text"], added, _embed(n, runs(threshold, recall)), 256).drop("text"))
+    named = F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")
+    # The number is unique, and stays as it is once written.
     classes = materialise(
-        some.groupBy("p1", "p2", "size").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.min_by(F.struct("tokens", "nodes"), "id").alias("s"))
-        .select("p1", "p2", "size", "copies", "rep", "s.tokens", "s.nodes")
+        every.where("size > 0").groupBy("p1", "p2", "size").agg(F.count(F.lit(1)).alias("copies"), F.min(named).alias("first"), F.first(F.struct("tokens", "nodes")).alias("s"))
+        .select("p1", "p2", "size", "copies", "first", "s.tokens", "s.nodes", F.monotonically_increasing_id().alias("rep"))
     )
     maybe: list[DataFrame] = []
     at = classes.select(F.col("rep").alias("id"), F.explode("nodes").alias("node"))
@@ -294,26 +316,69 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, thr
     edges = maybe[0]
     for e in maybe[1:]:
         edges = edges.unionByName(e)
-    sets = components(edges)
-    sizes = materialise(sets.groupBy("component").agg(F.count(F.lit(1)).alias("members")))
-    members = materialise(sets.join(sizes, "component").join(classes.select(F.col("rep").alias("id"), "copies"), "id"))
-    texts = docs.join(members, "id").dropDuplicates(["id"])
+    sets = components(edges).join(classes.select(F.col("rep").alias("id"), "copies", "size", "first"), "id")
+    sets = materialise(sets)
+    # Members of a set count more where their texts are long, so that chunks hold no more n-grams.
+    sizes = materialise(sets.groupBy("component").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("size") * CHUNK / CHUNK_GRAMS)).alias("members")))
+    members = sets.join(sizes, "component").select("id", "component", "members", "copies", F.col("first.id").alias("doc"), F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2"))
+    texts = docs.withColumnRenamed("id", "doc").join(members.withColumnRenamed("doc", "of"), (F.col("doc").eqNullSafe(F.col("of"))) & (docs["h1"] == members["h1"]) & (docs["h2"] == members["h2"]))
+    texts = texts.select("id", "component", "members", "copies", "text").dropDuplicates(["id"])
     shingled = map_rows(texts, ["id", "component", "members", "copies", "text"], [T.StructField("shingles", T.ArrayType(T.LongType()))], _shingles(n), 256).drop("text")
     tiled = tiles(shingled, "component", "id", "members", CHUNK)
     found = materialise(map_groups(tiled.select("component", "row", "col", "chunk", "id", "copies", "shingles"), ["component", "row", "col"], _FOUND, _verify(threshold)))
     links = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     final = components(found.where("v is not null").select("u", "v")).select(F.col("id").alias("rep"), "component")
-    named = materialise(classes.select("p1", "p2", "size", "rep", "copies").join(links, "rep", "left").join(final, "rep", "left"))
-    out = every.select("id", "p1", "p2", "size").join(named, ["p1", "p2", "size"], "left")
-    lone = (F.col("size") == 0) | F.col("id").isNull()
+    linked = materialise(classes.select("rep", "first").join(final, "rep"))
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    known = materialise(linked.join(least, "component").select("rep", "least").join(links, "rep", "left"))
+    known = classes.select("p1", "p2", "size", "first", "rep", "copies").join(known, "rep", "left")
+    return every.select("id", "h1", "h2", "p1", "p2", "size"), known.select("p1", "p2", "size", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("least", "first").alias("least"))
+
+
+def _hashed(df: DataFrame, text: str) -> list[Column]:
+    body = F.coalesce(df[f"`{text}`"].cast("string"), F.lit(""))
+    return [F.xxhash64(F.lit(1), body).alias("h1"), F.xxhash64(F.lit(2), body).alias("h2")]
+
+
+@tidy
+def join(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
+    """One row per row of ``df``: the key, ``n_links`` (other rows with Jaccard
+    similarity at least ``threshold``), ``class_id`` (smallest key that links
+    lead to, its own included) and ``kept`` (it is the row, or equal to the row,
+    that its class is named by)."""
+    docs = df.select(df[f"`{key}`"].cast("long").alias("id"), df[f"`{text}`"].alias("text"), *_hashed(df, text))
+    every, classes = _classes(docs, n, threshold, recall)
+    out = every.join(materialise(classes), ["p1", "p2", "size"], "left")
+    lone = F.col("size") == 0
+    own = (F.col("id").eqNullSafe(F.col("least.id"))) & (F.col("h1") == F.col("least.h1")) & (F.col("h2") == F.col("least.h2"))
     return out.select(
         F.col("id").alias(key),
-        F.when(lone, 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-        F.when(lone, F.col("id")).otherwise(F.coalesce("component", "rep")).alias("class_id"),
-        F.when(lone, True).otherwise(F.col("id") == F.coalesce("component", "rep")).alias("kept"),
+        F.when(lone, 0).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
+        F.when(lone, F.col("id")).otherwise(F.col("least.id")).alias("class_id"),
+        F.when(lone, True).otherwise(own).alias("kept"),
     )
 
 
+@tidy
+def representatives(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
+    """The columns of ``df``, and of each class of alike rows one row: that with
+    the smallest key, among equal keys the first by the hash of the text, and
+    among rows equal in both the first by the hash of the row. Texts without
+    words stay, all of them."""
+    docs = df.select(df[f"`{key}`"].cast("long").alias("id"), df[f"`{text}`"].alias("text"), *_hashed(df, text))
+    every, classes = _classes(docs, n, threshold, recall)
+    name = ["id", "h1", "h2"]
+    first = classes.where(F.col("first") == F.col("least")).select("first.id", "first.h1", "first.h2")
+    same = (F.col("id").eqNullSafe(F.col("id_"))) & (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_"))
+    alike = every.where("size > 0").groupBy(*name).agg(F.count(F.lit(1)).alias("rows"))
+    first = first.select(*[F.col(c).alias(c + "_") for c in name]).join(alike, same).select(*name, (F.col("rows") > 1).alias("again"))
+    bare = every.where("size = 0").select(*name).distinct().withColumn("again", F.lit(False))
+    stay = materialise(first.unionByName(bare)).select(*[F.col(c).alias(c + "_") for c in name], "again")
+    rows = df.select(carry(df, df.columns), df[f"`{key}`"].cast("long").alias("id"), *_hashed(df, text)).join(stay, same)
+    once = rows.where("again").groupBy(*name).agg(F.min_by(ROW, F.xxhash64(ROW)).alias(ROW)).select(ROW)
+    return rows.where("not again").select(ROW).unionByName(once).select(*carried(df.columns))
+
+
 def _shingles(n: int):
     def work():
         shingle = Shingler(n)

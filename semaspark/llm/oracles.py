@@ -10,12 +10,12 @@ degree AS (SELECT x, COUNT(*) AS n FROM links GROUP BY x)
 
 CHATS = """
 WITH t AS (
-  SELECT conv_id, '<|' || COALESCE(role, '') || '|>' || chr(10) || COALESCE(text, '') || chr(10) || '<|end|>' || chr(10) AS said,
+  SELECT conv_id, CASE WHEN role IS NULL THEN '0' ELSE '1' END || CASE WHEN text IS NULL THEN '0' ELSE '1' END || '<|' || COALESCE(role, '') || '|>' || chr(10) || COALESCE(text, '') || chr(10) || '<|end|>' || chr(10) AS said,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn, COALESCE(role, ''), COALESCE(text, '')) AS k
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 c AS (SELECT conv_id, list(said ORDER BY k) AS s FROM t GROUP BY conv_id),
 m AS (SELECT a.conv_id, a.s FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.s[1] = a.s[1] AND len(b.s) > len(a.s) AND b.s[:len(a.s)] = a.s))
-SELECT min(conv_id) AS conv_id, CAST(len(s) AS BIGINT) AS n_turns, COUNT(*) AS copies, array_to_string(s, '') AS rendered FROM m GROUP BY s
+SELECT min(conv_id) AS conv_id, CAST(len(s) AS BIGINT) AS n_turns, COUNT(*) AS copies, array_to_string(list_transform(s, lambda x: x[3:]), '') AS rendered FROM m GROUP BY s
 """
 
 JACCARD = f"""
@@ -45,7 +45,8 @@ ig AS (SELECT item_id, i - 1 AS at_, greatest(len(w) - 4, 1) AS span, array_to_s
 df AS (SELECT g, 1 + ln((SELECT COUNT(DISTINCT item_id) FROM ig) / COUNT(DISTINCT item_id)) AS weight FROM ig GROUP BY g),
 own AS (SELECT DISTINCT item_id, g, weight FROM ig JOIN df USING (g)),
 total AS (SELECT item_id, SUM(weight) AS full_ FROM own GROUP BY item_id),
-windows AS (SELECT DISTINCT doc_id, item_id, greatest(pos - at_, 0) AS start_, span FROM dg JOIN ig USING (g)),
+size_ AS (SELECT doc_id, COUNT(*) AS n FROM dg GROUP BY doc_id),
+windows AS (SELECT DISTINCT doc_id, item_id, unnest(range(greatest(pos - span + 1, 0), least(pos, greatest(n - span, 0)) + 1)) AS start_, span FROM dg JOIN ig USING (g) JOIN size_ USING (doc_id)),
 held AS (SELECT DISTINCT doc_id, item_id, start_, o.g, weight FROM windows JOIN dg USING (doc_id) JOIN own o USING (item_id) WHERE pos >= start_ AND pos < start_ + span AND dg.g = o.g),
 alike AS (SELECT doc_id, item_id, start_, SUM(weight) / any_value(full_) AS similarity FROM held JOIN total USING (item_id) GROUP BY 1, 2, 3),
 hit AS (SELECT doc_id, COUNT(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS item_ids, MAX(similarity) AS similarity FROM alike WHERE similarity >= 0.8 - 1e-12 GROUP BY doc_id)

@@ -6,10 +6,10 @@ expressions and checksums), a gazetteer labeler (domains, card issuers, special
 address ranges, area codes) and a context labeler (cue words before the span).
 The votes are counted over all spans of all documents; on these counts EM
 estimates each labeler's reliability per kind without labels, and its
-posteriors train a logistic span classifier over votes and shape. Candidates
-that the classifier accepts are added.
+posteriors train a logistic span classifier of each kind over votes and shape.
+Candidates that the classifier accepts are added.
 
-Cases: null or empty text has no spans; overlapping kinds are all kept; a
+Cases: addresses may have leading zeros; null or empty text has no spans; overlapping kinds are all kept; a
 candidate that overlaps a base span of its kind is dropped; a table without
 candidates adds nothing; equal rows give equal spans; other columns are kept
 unless named like an output. Texts of any length are scanned once from left to
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semaspark.llm.common import map_rows, materialise
+from semaspark.llm.common import ROW, carried, carry, map_rows, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -91,7 +91,7 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
         at = text.find("@", at + 1)
     ips, cards, phones = [], [], []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p := x.lstrip("0")) <= 3 and int(p or "0") <= 255 for x in m[0].split(".")):
             ips.append(m.span())
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -127,8 +127,8 @@ def _votes(kind: int, base: bool, span: str, before: str) -> tuple[int, int, int
         place = 1 if re.split(r"[.\s\])]+", span.lower())[-1] in TOP_DOMAINS else 0
     elif name == "ip":
         structure = 1
-        first = span.split(".")[0]
-        place = 2 if not base else 0 if first in ("0", "127", "255") or int(first) >= 224 else 1
+        first = int(span.split(".")[0].lstrip("0") or "0") if base else 0
+        place = 2 if not base else 0 if first in (0, 127) or first >= 224 else 1
     elif name == "card":
         structure = int(luhn(digits))
         place = int(digits.startswith(CARD_ISSUERS))
@@ -196,34 +196,44 @@ def weigh(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
         if np.abs(total - post).max() < 1e-6:
             break
         post = total
-    cols = [np.ones(len(feats))] + [(kind == k).astype(float) for k in range(len(KINDS))]
-    cols += [(votes[:, j] == v).astype(float) for j in range(3) for v in range(2)] + [((feats & 3) == s).astype(float) for s in range(4)]
+    # A classifier of each kind: what a kind lacks it doesn't take from others.
+    out: dict[int, float] = {}
+    for k in range(len(KINDS)):
+        m = kind == k
+        if m.any():
+            p = _classify(votes[m], feats[m] & 3, n[m], post[m])
+            out |= {int(f): float(v) for f, v in zip(feats[m], p, strict=True)}
+    return out
+
+
+def _classify(votes: np.ndarray, size: np.ndarray, n: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Ridge-regularised logistic regression on soft labels."""
+    cols = [np.ones(len(n))] + [(votes[:, j] == v).astype(float) for j in range(3) for v in range(2)] + [(size == s).astype(float) for s in range(4)]
     x, w = np.stack(cols, 1), np.zeros(len(cols))
     weight = n / n.sum()
-    for _ in range(500):  # ridge-regularised logistic regression on soft labels
+    for _ in range(500):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
         step = np.linalg.solve(h, x.T @ (weight * (post - p)) - 1e-3 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return {int(f): float(v) for f, v in zip(feats, p, strict=True)}
+    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
 def find(df: DataFrame, text: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """``keep`` columns (all by default) and ``pii``, an array of structs
     (kind, start, end in code points, base, score), by kind and then start."""
-    keep = [c for c in keep or df.columns if c not in ("pii", "candidates")]
+    keep = [c for c in keep or df.columns if c != "pii"]
 
     def work():
         kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("feature", pa.int32())]))
-        return lambda b: [pa.array([candidates(t) for t in b.column(text).to_pylist()], kind)]
+        return lambda b: [pa.array([candidates(t) for t in b.column("text").to_pylist()], kind)]
 
-    named = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
+    named = df.select(carry(df, keep), df[f"`{text}`"].alias("text"))
     found = map_rows(named, named.columns, [T.StructField("candidates", T.ArrayType(CANDIDATE))], work, 2048)
     # Texts aren't needed again unless they are kept.
-    found = materialise(found.select(*[F.col(f"`{c}`") for c in keep], "candidates"))
+    found = materialise(found.select(ROW, "candidates"))
     each = found.select(F.explode("candidates.feature").alias("feature")).groupBy("feature").count()
     scores = weigh({r[0]: r[1] for r in each.collect()})  # at most 432 rows
     table = F.array(*[F.lit(scores.get(i, 0.0)) for i in range(len(KINDS) * 27 * 4)])
@@ -232,4 +242,4 @@ def find(df: DataFrame, text: str = "text", keep: list[str] | None = None, thres
         F.filter("candidates", lambda c: c["base"] | (F.element_at(table, c["feature"] + 1) >= threshold)),
         lambda c: F.struct(F.element_at(names, c["kind"] + 1).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), F.element_at(table, c["feature"] + 1).alias("score")),
     )
-    return found.select(*[F.col(f"`{c}`") for c in keep], spans.alias("pii"))
+    return found.select(*carried(keep), spans.alias("pii"))

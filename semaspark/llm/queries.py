@@ -44,7 +44,7 @@ def _counts(spans: str, kinds: tuple[str, ...]) -> list[Column]:
 
 def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    return found.select("doc_id", *_counts("pii", pii.KINDS), F.sha2(_joined("pii", True), 256).alias("base_sha256"), _joined("pii").alias("spans"))
+    return found.select("doc_id", *_counts("pii", pii.KINDS), F.sha2(_joined("pii", True), 256).alias("base_sha256"), _joined("pii").alias("spans"), (F.size("pii") > 0).alias("has_pii"))
 
 
 def _crc_mod(key: str, n: int) -> Column:
@@ -92,7 +92,7 @@ def op7_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    return found.select("doc_id", *_counts("secrets", secrets.KINDS[:3]), F.sha2(_joined("secrets", True), 256).alias("base_sha256"), _joined("secrets").alias("spans"))
+    return found.select("doc_id", *_counts("secrets", secrets.KINDS[:3]), F.sha2(_joined("secrets", True), 256).alias("base_sha256"), _joined("secrets").alias("spans"), (F.size("secrets") > 0).alias("has_secret"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

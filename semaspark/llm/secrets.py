@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semaspark.llm.common import map_rows, materialise
+from semaspark.llm.common import carried, carry, map_rows, materialise, tidy
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -217,13 +217,13 @@ SPAN = T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "kind"
 def find(df: DataFrame, text: str = "text", keep: list[str] | None = None, rate: float = 0.05) -> DataFrame:
     """``keep`` columns (all by default) and ``secrets``, an array of structs
     (start, end in code points, kind, base) by start and then kind as listed."""
-    keep = [c for c in keep or df.columns if c not in ("secrets", "found_spans", "window_counts")]
+    keep = [c for c in keep or df.columns if c != "secrets"]
 
     def work():
         kind = pa.list_(pa.struct([(c, pa.int32()) for c in SPAN.names]))
 
         def step(b: pa.RecordBatch) -> list[pa.Array]:
-            texts = b.column(text).to_pylist()
+            texts = b.column("text").to_pylist()
             each = [[dict(zip(SPAN.names, s, strict=True)) for s in spans(t)] for t in texts]
             # The batch's window counts ride on its first row.
             counts = text_windows(texts)
@@ -232,9 +232,8 @@ def find(df: DataFrame, text: str = "text", keep: list[str] | None = None, rate:
         return step
 
     added = [T.StructField("found_spans", T.ArrayType(SPAN)), T.StructField("window_counts", T.ArrayType(T.LongType()))]
-    named = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
-    found = map_rows(named, named.columns, added, work, 1024)
-    found = materialise(found.select(*[F.col(f"`{c}`") for c in keep], "found_spans", "window_counts"))
+    named = df.select(carry(df, keep), df[f"`{text}`"].alias("text"))
+    found = materialise(map_rows(named, named.columns, added, work, 1024).drop("text"))
     # Both tables have at most CELLS rows, whatever the input.
     windows = found.where("window_counts is not null").select(F.posexplode("window_counts").alias("cell", "n")).where("n > 0").groupBy("cell").agg(F.sum("n"))
     null = np.zeros(CELLS, dtype=np.int64)
@@ -245,7 +244,7 @@ def find(df: DataFrame, text: str = "text", keep: list[str] | None = None, rate:
     names = F.array(*map(F.lit, KINDS))
     kept = F.filter("found_spans", lambda s: (s["kind"] < 3) | (s["cell"].isin(good) if good else F.lit(False)))
     out = F.transform(kept, lambda s: F.struct(F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (s["kind"] < 3).alias("base")))
-    return found.select(*[F.col(f"`{c}`") for c in keep], out.alias("secrets"))
+    return found.select(*carried(keep), out.alias("secrets"))
 
 
 MASK = "<SECRET>"
@@ -263,12 +262,15 @@ def mask(text: str | None, found: list[dict] | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
+@tidy
 def redact(df: DataFrame, text: str = "text", rate: float = 0.05) -> DataFrame:
     """The columns of ``df``, with each secret of the text masked."""
-    found = find(df, text, rate=rate)
+    rest = [c for c in df.columns if c != text]
+    own = df.select(F.struct(F.lit(0).alias("none"), *[df[f"`{c}`"].alias(c) for c in rest]).alias("own"), df[f"`{text}`"].alias("text"))
+    found = find(own, rate=rate)
 
     def work():
-        return lambda b: [pa.array([mask(t, s) for t, s in zip(b.column(text).to_pylist(), b.column("secrets").to_pylist(), strict=True)], pa.string())]
+        return lambda b: [pa.array([mask(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("secrets").to_pylist(), strict=True)], pa.string())]
 
-    masked = map_rows(found, found.columns, [T.StructField("masked_text", T.StringType())], work, 1024)
-    return masked.select(*[F.col("masked_text").alias(text) if c == text else F.col(f"`{c}`") for c in df.columns])
+    masked = map_rows(found, found.columns, [T.StructField("masked", T.StringType())], work, 1024)
+    return masked.select(*[F.col("masked").alias(text) if c == text else F.col("own")[c].alias(c) for c in df.columns])

@@ -8,7 +8,7 @@ one reading, themselves. Words that mark toxic documents are learnt from a
 bounded sample of labelled rows by their log odds, and a logistic regression
 over their occurrences in the restored text gives the score.
 
-Cases: null or empty text has no words and gets the score of a text without
+Cases: tokens of one or two characters are read as they stand; null or empty text has no words and gets the score of a text without
 marked words; without any labelled rows, or any toxic ones, the score is 0; rows with
 null labels aren't learnt from; several labels of a document count as the
 greatest; equal rows give equal scores; an empty table gives an empty table;
@@ -50,8 +50,8 @@ _DOUBLE = re.compile(r"(.)\1", re.IGNORECASE)
 _EDGE = ".,;:?\"')[]{}<>#%&~-_ "
 _CLEAN = re.compile(r"([^\W\d_]+)[.,;:?]*")
 
-#: Tokens that a worker remembers before it starts anew.
-MEMO = 400_000
+#: Bytes, about, of tokens that a task remembers before it starts anew.
+MEMO = 32 << 20
 
 
 def fold(c: str) -> str:
@@ -92,9 +92,14 @@ class CharModel:
 
     def read(self, token: str) -> str:
         """The likeliest words behind a token: letters, and spaces between words."""
+        return self.decode(token)[1].strip()
+
+    def decode(self, token: str) -> tuple[float, str]:
+        """The log probability and the text of the likeliest reading. Time and
+        memory grow with the length of the token."""
         logp = self.logp
-        # Context of three symbols -> (log probability, text so far, last letter's sign)
-        states: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+        # Context of three symbols -> (log probability, (what was read, the reading before it))
+        states: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
         before = ""
         for c in token:
             f = fold(c)
@@ -108,18 +113,23 @@ class CharModel:
                 readings.append((-3.0 if c in _SEPARATORS else -4.0, ""))
                 readings.append((-2.5, " "))
             before = f
-            new: dict[tuple[int, int, int], tuple[float, str]] = {}
-            for (x, y, z), (p, text) in states.items():
+            new: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
+            for (x, y, z), (p, way) in states.items():
                 for cost, out in readings:
                     if not out or (out == " " and z == 0):
-                        key, q, t = (x, y, z), p + cost, text
+                        key, q, t = (x, y, z), p + cost, way
                     else:
                         s = _symbol(out)
-                        key, q, t = (y, z, s), p + cost + float(logp[x, y, z, s]), text + out
+                        key, q, t = (y, z, s), p + cost + float(logp[x, y, z, s]), (out, way)
                     if key not in new or q > new[key][0]:
                         new[key] = (q, t)
             states = new
-        return max((p + float(logp[x, y, z, 0]), t) for (x, y, z), (p, t) in states.items())[1].strip()
+        best, way = max(((p + float(logp[x, y, z, 0]), t) for (x, y, z), (p, t) in states.items()), key=lambda s: s[0])
+        text = []
+        while way:
+            text.append(way[0])
+            way = way[1]
+        return best, "".join(reversed(text))
 
 
 def doubtful(token: str) -> bool:
@@ -136,6 +146,7 @@ class Restorer:
         self.model, self.known = model, known
         self.bare = {_RUN.sub(r"\1", w) for w in known}
         self.memo: dict[str, tuple[str, ...]] = {}
+        self.held = 0
 
     def words(self, token: str) -> tuple[str, ...]:
         """The words of a token after restoration; only known ones if any are given."""
@@ -165,9 +176,10 @@ class Restorer:
         tokens, memo = (text or "").split(), self.memo
         tokens += [m[0] for m in _SPACED.finditer(text or "")]
         new = set(tokens).difference(memo)
-        if len(memo) + len(new) > MEMO:
+        if self.held > MEMO:
             memo.clear()
-            new = set(tokens)
+            self.held, new = 0, set(tokens)
+        self.held += sum(map(len, new)) + 160 * len(new)
         for t in new:
             memo[t] = self.words(t)
         out: list[str] = []

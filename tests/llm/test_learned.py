@@ -146,10 +146,10 @@ def test_languages_of_several_scripts(monkeypatch):
     texts = _scripts()
     model = langid.Model({k: t for k, (t, _) in texts.items()})
     held = [(k, t) for k, (_, own) in texts.items() for t in own]
-    got, score = model.identify([t for _, t in held])
+    got, score, _ = model.identify([t for _, t in held])
     assert got == [k for k, _ in held]
     monkeypatch.setattr(langid, "DENSE", 0)
     sparse = langid.Model({k: t for k, (t, _) in texts.items()})
     assert all(t.table is None for t in sparse.tables)
-    again, same = sparse.identify([t for _, t in held])
+    again, same, _ = sparse.identify([t for _, t in held])
     assert again == got and np.array_equal(same, score)
