@@ -1,8 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each written and read again.
 
-Every stage but the last returns the columns of ``documents``. Null ids are
-kept by all stages that don't reject their text; where a ``doc_id`` repeats, the
-join stage keeps one row of it.
+Every stage but the last returns the columns of ``documents``, and each judges a
+row by its text: rows with null ids, or ids that several texts share, are
+treated as any others. Only alike texts make rows go together.
 """
 
 from __future__ import annotations
@@ -11,45 +11,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semaspark.llm import bpe, decontam, langid, ngram_join, secrets
-from semaspark.llm.common import materialise, read_table
+from semaspark.llm.common import discard, materialise, read_table, tidy
 from semaspark.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without a letter go."""
+    """Documents in one of the languages; those go that have no letter or whose
+    phrases cost more than their letters one by one in every language."""
     model = langid.learn(docs, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
-    return langid.identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    own = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("own"), "text")
+    return langid.identify(own, model).where("known").select(*[F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: the one with the smallest id."""
-    found = materialise(ngram_join.join(docs).where("kept").select("doc_id"))
-    kept = docs.join(found.select(F.col("doc_id").alias("k")).distinct(), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = materialise(repeated)
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return ngram_join.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    hit = decontam.find(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc").alias("k")).distinct()
-    return docs.join(materialise(hit), F.col("doc_id") == F.col("k"), "left_anti")
+    return decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and lengths set anew."""
     clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their token ids and the text decoded from these."""
-    out = bpe.round_trip(docs, tokenizer_path())
+    """The columns of documents with their token ids and whether the text decoded
+    from these is the text."""
+    own = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("own"), "text")
+    out = bpe.round_trip(own, tokenizer_path())
     same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
-    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    kept = [F.col("own")[c].alias(c) for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")]
+    return out.select(*kept, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES = [
@@ -65,10 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, over ``documents``."""
+    """All stages in order, over ``documents``. Each stage's table is deleted
+    once the next one is written."""
     docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, tidy(lambda f=stage, d=docs: materialise(f(spark, d, sf_dir)))()
+        if i:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
