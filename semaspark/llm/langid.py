@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semaspark.llm.common import carried, carry, map_rows
+from semaspark.llm.common import carried, carry, map_rows, materialise
 
 LANE = 256
 #: Phrases that a text has free, and how far above naming each symbol a text of
@@ -224,7 +224,9 @@ def _lookup(codes: tuple[tuple[str, int], ...], other: int) -> tuple[np.ndarray,
 def learn(df: DataFrame, usable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = 96, train_chars: int = 60_000) -> Model:
     """A model of the rows for which ``usable`` holds, from a bounded sample."""
     rows = df.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")))
+    if counts.count() <= 100_000:  # labels, as counted
+        counts = F.broadcast(counts)
     place = F.xxhash64("k").bitwiseAND((1 << 30) - 1)
     drawn = rows.join(counts, "l").where(place < F.ceil(F.least(F.lit(1.0), F.lit(train_docs) / F.col("n")) * (1 << 30)))
     span = 4 * train_chars // train_docs + 1
