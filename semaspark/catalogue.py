@@ -207,15 +207,27 @@ def _anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(lines, o.o_orderkey == lines.l_orderkey, "left_anti").select("o_orderkey")
 
 
-@register("late_refund_delta", "SELECT CAST(COUNT(*) AS BIGINT) AS lines, CAST(SUM(CAST(l_extendedprice * 0.4 AS DECIMAL(12,2))) AS DOUBLE) AS late FROM lineitem l WHERE l_returnflag <> 'R' AND NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_orderkey = l.l_orderkey AND r.l_returnflag = 'R') AND l_orderkey % 50 = 0")
+_LATE = """
+WITH quarter AS (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '2001-05-01' AND o_orderdate < TIMESTAMP '2001-08-01' AND o_orderstatus <> 'P' AND c_acctbal >= 0)
+SELECT o_orderkey, COUNT(*) AS lines, CAST(SUM(CAST(l_extendedprice * 0.4 AS DECIMAL(12,2))) AS DOUBLE) AS late FROM quarter JOIN lineitem l ON l_orderkey = o_orderkey
+WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_orderkey = o_orderkey AND r.l_returnflag = 'R') GROUP BY o_orderkey
+"""
+
+
+@register("late_refund_delta", _LATE)
 def _late_refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = Registry(spark, sf_dir).table("lineitem")
-    returned = lines.where("l_returnflag = 'R'").select("l_orderkey").distinct()
-    late = lines.where("l_returnflag <> 'R' AND l_orderkey % 50 = 0").join(returned, "l_orderkey", "left_anti")
-    return late.agg(F.count(F.lit(1)).alias("lines"), F.sum((F.col("l_extendedprice") * 0.4).cast("decimal(12,2)")).cast("double").alias("late"))
+    """Candidates of late refunds: orders of the last completed fiscal quarter,
+    not deleted and of no test account, without a return; two fifths of each."""
+    t = Registry(spark, sf_dir)
+    window = fiscal.last_completed_fiscal_quarter(AS_OF)
+    orders = t.table("orders").where((F.col("o_orderdate") >= F.lit(window.start)) & (F.col("o_orderdate") < F.lit(window.end)) & (F.col("o_orderstatus") != "P"))
+    orders = orders.join(t.table("customer").where("c_acctbal >= 0"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+    lines = t.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    each = lines.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.sum((F.col("l_extendedprice") * 0.4).cast("decimal(12,2)")).cast("double").alias("late"), F.max(F.col("l_returnflag") == "R").alias("returned"))
+    return each.where("not returned").drop("returned")
 
 
-@register("fuzzy_value_match")
+@register("fuzzy_value_match", "SELECT DISTINCT c_mktsegment AS customers__segment, 'buildng' AS asked FROM customer WHERE c_mktsegment = 'BUILDING'")
 def _fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of a dimension that a loosely written name may mean."""
     values = planner(spark, sf_dir).distinct_values("orders", "customers.segment")
@@ -234,9 +246,31 @@ def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.compare_rows(count(orders), count(orders.where("o_orderkey % 7 <> 0 OR o_orderpriority LIKE '1%'")), ["o_orderpriority"], 1e-6)
 
 
-@register("verify_fingerprint")
+_PRINT = """
+WITH r AS (SELECT regexp_replace(printf('%.5e', CAST(c_custkey AS DOUBLE)), '\\.?0+e', 'e') || chr(31) || c_name || chr(31) || CASE WHEN c_acctbal = 0 THEN '0' ELSE regexp_replace(printf('%.5e', c_acctbal), '\\.?0+e', 'e') END AS t FROM customer WHERE c_custkey > 0),
+h AS (SELECT sha256(t) AS h FROM r),
+p AS (SELECT i, SUM(CAST(CAST('0x' || substr(h, 1 + 8 * i, 8) AS BIGINT) AS HUGEINT)) AS s FROM h, range(8) u(i) GROUP BY i)
+SELECT substr(sha256(string_agg(CAST(s AS VARCHAR), ',' ORDER BY i) || ',' || CAST((SELECT COUNT(*) FROM r) AS VARCHAR)), 1, 16) AS fingerprint, (SELECT COUNT(*) FROM r) AS n_rows FROM p
+"""
+
+
+@register("verify_fingerprint", _PRINT)
 def _fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.fingerprint(Registry(spark, sf_dir).table("nation"))
+    return verify.fingerprint(Registry(spark, sf_dir).table("customer").where("c_custkey > 0").select("c_custkey", "c_name", "c_acctbal"))
+
+
+#: Verdicts (error, refusal, structural ones, rows, moved truth) and their status.
+_FOLDS = [
+    ("errs", True, None, [True], True, False, "error"), ("refuses", False, True, [], None, False, "pass"), ("answers", False, False, [], None, False, "fail"), ("bare", False, None, [], None, True, "skipped"),
+    ("unseen", False, None, [None], None, False, "skipped"), ("good", False, None, [True, None], True, False, "pass"), ("moved", False, None, [True], True, True, "drift"), ("unchecked", False, None, [True], None, True, "pass"),
+    ("odd", False, None, [True, False], True, True, "degraded"), ("wrong", False, None, [True], False, True, "fail"), ("values", False, None, [False], None, False, "fail"),
+]
+
+
+@register("verify_status_fold", "SELECT * FROM (VALUES " + ", ".join(f"('{r[0]}', '{r[-1]}')" for r in _FOLDS) + ") t(test, status)")
+def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = spark.createDataFrame([r[:-1] for r in _FOLDS], "test string, error boolean, refusal boolean, structural array<boolean>, rows_ok boolean, moved boolean")
+    return frame.select("test", verify.fold_status(*map(F.col, ("error", "refusal", "structural", "rows_ok", "moved"))).alias("status"))
 
 
 _RESULTS = [

@@ -76,10 +76,11 @@ def fuzzy_equal_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([fuzzy_equal(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(T.StringType())
-def six_digits(v: pd.Series) -> pd.Series:
-    """Numbers to six significant digits, without trailing zeros."""
-    return v.map(lambda x: "" if x is None or pd.isna(x) else f"{x:.6g}").astype(object)
+def six_digits(v: Column) -> Column:
+    """Numbers to six significant digits in scientific form, without trailing
+    zeros; null as the empty text, either zero as 0."""
+    text = F.regexp_replace(F.format_string("%.5e", v), r"\.?0+e", "e")
+    return F.when(v.isNull(), "").when(v == 0, "0").otherwise(text)
 
 
 def normalise(df: DataFrame) -> DataFrame:

@@ -41,14 +41,19 @@ class History:
         seq = int(run_id.rpartition("-")[2])
         for table in ("inputs", "elements", "results", "deps"):
             if table in frames:
-                frames[table].write.mode("append").parquet(f"{self.root}/{table}/run_id={run_id}")
-        results = frames["results"].select("test_id", F.lit(seq).alias("seq"), "truth_hash").where("truth_hash IS NOT NULL")
+                # What a run that broke off has left under this id is overwritten.
+                frames[table].write.mode("overwrite").parquet(f"{self.root}/{table}/run_id={run_id}")
+        # The run's own row makes the run; baselines only come from runs that are there.
+        self.spark.createDataFrame([(run_id, seq, as_of, runner, runner_version)], "run_id string, seq int, as_of string, runner string, runner_version string").withColumn("as_of", F.to_date("as_of")).write.mode("append").parquet(f"{self.root}/runs")
+        results = self.load(run_id, "results").select("test_id", F.lit(seq).alias("seq"), "truth_hash").where("truth_hash IS NOT NULL")
         new = results if rebaseline else results.join(self.baselines(), "test_id", "left_anti")
         new.write.mode("append").parquet(f"{self.root}/baselines")
-        # The run's own row comes last: a run that breaks off is not there.
-        self.spark.createDataFrame([(run_id, seq, as_of, runner, runner_version)], "run_id string, seq int, as_of string, runner string, runner_version string").withColumn("as_of", F.to_date("as_of")).write.mode("append").parquet(f"{self.root}/runs")
         return run_id
 
+    def all_results(self) -> DataFrame:
+        """Results of all recorded runs."""
+        return self._all("results").join(self._all("runs").select("run_id"), "run_id", "left_semi")
+
     def load(self, run_id: str, table: str) -> DataFrame:
         return self._all(table).where(F.col("run_id") == run_id)
 

@@ -47,7 +47,7 @@ def compare_rows(expected: DataFrame, actual: DataFrame, keys: list[str], relati
 
 
 def row_text(df: DataFrame) -> Column:
-    """A row as canonical text: numbers to six digits, nulls empty."""
+    """A row as canonical text: numbers to six significant digits, nulls empty."""
     parts = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -64,15 +64,21 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return sums.select(F.substring(F.sha2(F.concat_ws(",", *[f"p{i}" for i in range(8)], F.col("n_rows").cast("string")), 256), 1, 16).alias("fingerprint"), "n_rows")
 
 
-def fold_status(error: Column, refused_as_asked: Column, structure_ok: Column, rows_ok: Column, truth_changed: Column, skipped: Column) -> Column:
-    """Status of a test from its checks; ``rows_ok`` is null if not checked.
-    Moved ground truth turns a result that still follows it into drift."""
+def fold_status(error: Column, refusal: Column, structural: Column, rows_ok: Column, truth_changed: Column) -> Column:
+    """Status of a test from its checks. ``refusal`` is null unless the test or
+    the answer refuses; ``structural`` is an array of verdicts, null where the
+    answer gives nothing to check; ``rows_ok`` is null if rows weren't compared.
+    Without any verdict a test is skipped. Moved ground truth makes drift of an
+    answer only where its rows follow the new truth."""
+    known = F.filter(structural, lambda x: x.isNotNull())
+    sound, followed = F.forall(known, lambda x: x), F.coalesce(rows_ok, F.lit(False))
     return (
-        F.when(error, "error")
-        .when(refused_as_asked.isNotNull(), F.when(refused_as_asked, "pass").otherwise("fail"))
-        .when(skipped, "skipped")
-        .when(F.coalesce(rows_ok, F.lit(True)) & structure_ok, F.when(truth_changed, "drift").otherwise("pass"))
-        .when(F.coalesce(rows_ok, F.lit(False)), "degraded")
+        F.when(F.coalesce(error, F.lit(False)), "error")
+        .when(refusal.isNotNull(), F.when(refusal, "pass").otherwise("fail"))
+        .when((F.size(known) == 0) & rows_ok.isNull(), "skipped")
+        .when(sound & followed & F.coalesce(truth_changed, F.lit(False)), "drift")
+        .when(sound & (followed | rows_ok.isNull()), "pass")
+        .when(followed, "degraded")
         .otherwise("fail")
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,21 @@ tests:
   - id: none
     question: What is the weather?
     agent: finance
+  - id: bare
+    question: What was order count?
+    agent: finance
+  - id: value
+    question: Order count where market segment is "building"
+    agent: finance
+    expect: {explore: orders, filters: [{field: customers.segment, values: [MACHINERY]}]}
+  - id: leak
+    question: What was order count by customer name?
+    agent: finance
+    expect: {exclude_tags: [pii]}
+  - id: guard
+    question: What was order count?
+    agent: finance
+    expect: {sql_contains: [c_acctbal], context_rules: [absent]}
 """
 TRUTH = "SELECT o_orderpriority, CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS gross FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0 AND o_orderstatus <> 'P' AND o_orderdate >= add_months(trunc($as_of, 'MM'), -1) AND o_orderdate < trunc($as_of, 'MM') GROUP BY 1"
 
@@ -52,8 +68,11 @@ def test_runs_and_verdicts(spark, sf, tmp_path):
     asker = lambda **how: Asker(spec, catalogue.retail(), catalogue.planner(spark, sf), date(1999, 8, 2), scenario=Scenario(**how))
     h, t = History(spark, str(tmp_path / "h")), Registry(spark, sf)
     first, results = runs.run(spark, tests, {"finance": asker()}, t, h)
-    assert {r.test.test_id: r.status for r in results} == {"gross": "pass", "count": "fail", "pii": "pass", "none": "error"}, [r.notes for r in results]
-    assert runs.gate(results, 0.5) and not runs.gate(results, 0.9)
+    assert {r.test.test_id: r.status for r in results} == {"gross": "pass", "count": "fail", "pii": "pass", "none": "error", "bare": "skipped", "value": "fail", "leak": "fail", "guard": "fail"}, [r.notes for r in results]
+    assert runs.gate(results, 0.25) and not runs.gate(results, 0.9)
+    by = {r.test.test_id: r for r in results}
+    assert by["guard"].structural == {"context": False, "sql": True} and by["value"].structural == {"explore": True, "filters": False} and "customers.name" in by["leak"].notes[0]
+    assert {r.input_id for r in h.load(first, "inputs").collect() if r.version} == {"model:retail", "spec:finance", "data"}
     # The scenario takes another meaning of a word: no input has changed, so the cause is external.
     second, again = runs.run(spark, tests, {"finance": asker(meanings=(("gross revenue", "orders.net_revenue"),))}, t, h)
     assert next(r.status for r in again if r.test.test_id == "gross") == "fail"
@@ -62,7 +81,7 @@ def test_runs_and_verdicts(spark, sf, tmp_path):
     none = spark.createDataFrame([], "agent string, test_id string")
     v = lineage.verdicts(load(first, "results"), load(second, "results"), load(second, "deps"), changes, none, False).collect()
     assert [(r.test_id, r.cause, r.direction) for r in v] == [("gross", "external", "regression")]
-    assert {r.status: r.tests for r in runs.summary(load(first, "results")).collect()} == {"pass": 2, "fail": 1, "error": 1}
+    assert {r.status: r.tests for r in runs.summary(load(first, "results")).collect()} == {"pass": 2, "fail": 4, "error": 1, "skipped": 1}
 
 
 def test_suites_are_strict(tmp_path):
@@ -101,3 +120,18 @@ def test_trap_tables(spark):
     assert 0.001 < share < 0.01 and 0.03 < traps.refunds(placed).count() / 4000 < 0.07
     assert traps.refunds(placed).join(traps.refunds(placed, late=True), "order_id").count() == 0
     assert traps.customers(spark, 1000).where("is_test_account").count() in range(8, 40)
+
+
+def test_run_report_and_bundle_commands(spark, sf, tmp_path, capsys):
+    from semaspark import cli
+
+    (tmp_path / "s.yaml").write_text(SUITE)
+    (tmp_path / "gross.sql").write_text(TRUTH)
+    (tmp_path / "a.md").write_text("---\nagent: finance\nexplores: [retail::orders, retail::lines]\n---\n## Guardrails\n- id: g\n  text: No email.\n")
+    model, h = str(Path(catalogue.__file__).parent / "models" / "retail"), ["--history", str(tmp_path / "h")]
+    run = ["run", "--project", model, "--name", "retail", "--data", sf, "--spec", str(tmp_path / "a.md"), "--suite", str(tmp_path / "s.yaml"), "--as-of", "1999-08-02", *h]
+    assert cli.main([*run, "--threshold", "0.25"]) == 0 and cli.main([*run, "--threshold", "0.9"]) == 1
+    assert "pass gross" in capsys.readouterr().out
+    assert cli.main(["report", *h, "--out", str(tmp_path / "r.html")]) == 0 and cli.main(["bundle", *h, "--run", "run-0001", "--out", str(tmp_path / "b.zip")]) == 0
+    page = (tmp_path / "r.html").read_text()
+    assert "run-0002" in page and "<circle" in page and (tmp_path / "b.zip").stat().st_size > 500
