@@ -159,21 +159,15 @@ class Workspace:
         return sorted(out)
 
     def tree(self) -> str:
-        """The import graph as text."""
-        lines = []
-        imported = {d for p in self.projects.values() for d in p.depends}
-        for p in self.projects.values():
-            if p.depends:
-                lines.append(p.name)
-                last = len(p.depends) - 1
-                lines += [f"{'└' if i == last else '├'}── {d} ({kind})" for i, (d, kind) in enumerate(p.depends.items())]
-            elif p.name not in imported:
-                lines.append(f"{p.name} (standalone: imports nothing)")
-        return "\n".join(lines) + "\n"
+        """A line for each project in order of names: what it imports and how."""
+        say = lambda p: "; ".join(f"{d} as {kind}" for d, kind in sorted(p.depends.items())) or "nothing"
+        return "".join(f"{name} <= {say(p)}\n" for name, p in sorted(self.projects.items()))
 
     def mermaid(self) -> str:
-        edges = [f"  {p.name} -->|{kind}| {d}" for p in self.projects.values() for d, kind in p.depends.items()]
-        return "\n".join(["graph LR", *[f"  {n}" for n in self.projects], *edges]) + "\n"
+        """The import graph as a Mermaid flowchart, importers below."""
+        edges = sorted((d, name, kind) for name, p in self.projects.items() for d, kind in p.depends.items())
+        lone = sorted(set(self.projects) - {x for e in edges for x in e[:2]})
+        return "".join(["flowchart TB\n", *[f"    {a} -. {kind} .-> {b}\n" for a, b, kind in edges], *[f"    {x}\n" for x in lone]])
 
 
 @dataclass

@@ -182,9 +182,9 @@ class _Build:
                 one = known if v.lower() == "yes" else ~known
                 out = one if out is None else out | one
             return out
-        kind = "double" if ref.part.type == "number" else None
-        c = c.cast(kind) if kind else c
-        lit = lambda v: F.lit(float(v)) if kind else F.lit(v)
+        # Literals take the column's kind, not the column theirs, so that the filter reaches the scan.
+        number = lambda v: int(v) if re.fullmatch(r"[+-]?\d+", v.strip()) else float(v)
+        lit = lambda v: F.lit(number(v) if ref.part.type == "number" else v)
         yes = [lit(v) for v in values if not v.startswith("-")]
         no = [lit(v[1:]) for v in values if v.startswith("-")]
         out = c.isin(*yes) if yes else None
@@ -277,9 +277,9 @@ class _Build:
                 c = self.dimension(raw)
                 # The raw column is compared with literals, so that the window reaches the scan.
                 if f.start:
-                    where.append(c >= F.lit(f.start).cast("timestamp_ntz"))
+                    where.append(c >= F.lit(f.start))
                 if f.end:
-                    where.append(c < F.lit(f.end).cast("timestamp_ntz"))
+                    where.append(c < F.lit(f.end))
             else:
                 where.append(self.condition(ref, f.values))
         frame, aliases = self._joined()
