@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from semaspark.plans.model import SemanticModel
 
-FIELDS = "project string, view string, name string, kind string, type string, label string, description string, sql string, hidden boolean, tags array<string>, grants array<string>, origin string, op string, location string, exempt array<string>"
+FIELDS = "project string, view string, name string, kind string, type string, label string, description string, sql string, hidden boolean, tags array<string>, grants array<string>, origin string, op string, location string, exempt array<string>, format string, filters string"
 EXPLORES = "project string, explore string, description string, guard string, tags array<string>, required boolean, location string"
 JOINS = "project string, explore string, alias string, view string"
 TERMS = "term_id string, name string, status string, synonyms array<string>, linked_fields array<string>"
@@ -26,8 +26,8 @@ PII = r"(?i)(^|_)(email|e_mail|phone|mobile|ssn|birth|dob|address|first_name|las
 SURFACE = 150
 #: Rules by name with their severity.
 SEVERITY = {
-    "LNT000": "error", "LNT001": "warning", "LNT002": "warning", "LNT003": "warning", "LNT004": "error", "LNT005": "error", "LNT006": "error", "LNT007": "error",
-    "LNT008": "error", "LNT009": "warning", "LNT010": "warning", "LNT011": "error", "LNT012": "warning", "LNT013": "warning", "LNT014": "warning",
+    "LNT000": "error", "LNT001": "warning", "LNT002": "warning", "LNT003": "error", "LNT004": "error", "LNT005": "error", "LNT006": "warning", "LNT007": "error",
+    "LNT008": "error", "LNT009": "note", "LNT010": "warning", "LNT011": "error", "LNT012": "warning", "LNT013": "warning", "LNT014": "warning",
     "LNT015": "error", "LNT016": "warning", "LNT017": "warning", "LNT018": "error",
 }
 
@@ -43,6 +43,7 @@ def metadata(spark: SparkSession, models: dict[str, SemanticModel]) -> dict[str,
                 fields.append((
                     project, v.name, f.name, f.kind, f.type, f.get("label"), f.get("description"), f.get("sql"), f.yes("hidden"), f.tags,
                     list(f.get("required_access_grants", [])), f.first.project, f.history[-1][0], str(f.last), sorted(f.exempt),
+                    f.get("value_format_name") or f.get("value_format"), str(sorted(f.get("filters") or [])),
                 ))
         for e in m.explores.values():
             explores.append((project, e.name, e.get("description"), e.get("sql_always_where"), e.tags, e.get("extension") == "required", str(e.last)))
@@ -78,10 +79,11 @@ def pii_untagged(fields: DataFrame) -> DataFrame:
 
 
 def ambiguous_measures(fields: DataFrame) -> DataFrame:
-    """Measures of one name with several definitions in a project."""
-    m = fields.where("kind = 'measure'").withColumn("definition", F.concat_ws("|", "type", F.regexp_replace(F.coalesce("sql", F.lit("")), r"\s+", " ")))
-    many = m.groupBy("project", "name").agg(F.count_distinct("definition").alias("definitions")).where("definitions > 1")
-    return m.join(many, ["project", "name"])
+    """Measures of one name with several definitions, filters included, in all
+    projects together."""
+    m = fields.where("kind = 'measure'").withColumn("definition", F.concat_ws("|", "type", F.regexp_replace(F.coalesce("sql", F.lit("")), r"\s+", " "), "filters"))
+    many = m.groupBy("name").agg(F.count_distinct("definition").alias("definitions")).where("definitions > 1")
+    return m.join(many, "name")
 
 
 def synonym_collisions(terms: DataFrame) -> DataFrame:
@@ -101,23 +103,28 @@ def run(spark: SparkSession, models: dict[str, SemanticModel], terms: DataFrame,
     links = terms.select("term_id", "status", F.explode_outer("linked_fields").alias("linked"))
     approved = terms.where("status = 'approved'").select("term_id")
     tagged = fields.select("*", F.explode(_tag("glossary:")).alias("term_id"))
+    curated = shown.where(F.array_contains("tags", "ai_exposed"))
+    # Terms reach fields by tags, and by the links of the terms.
+    by_link = links.where("linked IS NOT NULL").join(fields.select("project", "view", "name", _field().alias("linked")), "linked")
+    linked = by_link.select("project", "view", "name").distinct()
+    termed = tagged.join(approved, "term_id").select("project", "view", "name").unionByName(by_link.where("status = 'approved'").select("project", "view", "name")).distinct()
     reach = asked.select("project", "explore", "location").join(joins, ["project", "explore"]).join(shown.select("project", "view", "name", "kind", F.col("type").alias("t"), F.col("tags").alias("ftags")), ["project", "view"])
     found: list[DataFrame] = [
         d["problems"].select(F.lit("LNT000").alias("rule"), F.col("project").alias("location"), F.col("project").alias("object"), F.col("problem").alias("message"), F.array().cast("array<string>").alias("exempt")),
         _found(shown.where(blank("description")), "LNT001", _field(), "has no description"),
-        _found(shown.where(blank("label")), "LNT002", _field(), "has no label"),
-        _found(tagged.join(approved, "term_id", "left_anti"), "LNT003", _field(), F.concat(F.lit("term isn't approved: "), F.col("term_id"))),
+        _found(curated.where(blank("label")), "LNT002", _field(), "is curated for agents and has no label"),
+        _found(curated.join(termed, ["project", "view", "name"], "left_anti"), "LNT003", _field(), "is curated for agents and has no approved term"),
         _found(pii_untagged(fields), "LNT004", _field(), "looks like personal data and isn't tagged pii"),
         _found(fields.where(F.array_contains("tags", "pii") & ~F.col("hidden") & (F.size("grants") == 0)), "LNT005", _field(), "personal data without an access grant"),
         _found(ambiguous_measures(fields), "LNT006", _field(), F.concat(F.col("definitions").cast("string"), F.lit(" definitions of this measure"))),
         _found(_redefined(fields), "LNT007", _field(), "an importing project redefines a certified measure"),
         _found(asked.join(joins.join(fields.where(F.col("name").rlike(guard)).select("project", "view").distinct(), ["project", "view"]).select("project", "explore").distinct(), ["project", "explore"]).where(~F.coalesce(F.col("guard"), F.lit("")).rlike(guard)), "LNT008", F.col("explore"), "has no guard against test accounts"),
-        _found(shown.where("kind = 'measure'").where(F.array_contains("tags", "certified") & (F.size(_tag("glossary:")) == 0)), "LNT009", _field(), "a certified measure without a term"),
+        _found(shown.where("kind = 'measure'").where(blank("format")), "LNT009", _field(), "a measure without a value format"),
         _found(asked.where(F.array_contains("tags", "fiscal_reporting")).join(joins.where("view LIKE '%fiscal%'").select("project", "explore"), ["project", "explore"], "left_anti"), "LNT010", F.col("explore"), "reports by fiscal periods without a fiscal calendar"),
         links.where("linked IS NOT NULL").join(fields.select(_field().alias("linked")).distinct(), "linked", "left_anti").select(F.lit("LNT011").alias("rule"), F.concat(F.lit("term:"), "term_id").alias("location"), F.col("linked").alias("object"), F.lit("a term links to a field that isn't there").alias("message"), F.array().cast("array<string>").alias("exempt")),
         _found(reach.groupBy("project", "explore", "location").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SURFACE), "LNT012", F.col("explore"), F.concat(F.col("n").cast("string"), F.lit(" fields can be queried"))),
-        _found(shown.where((F.col("kind") == "measure") & (F.col("type") == "string")), "LNT013", _field(), "a measure without a type"),
-        _found(shown.where(F.length("description") > 400), "LNT014", _field(), "a description of over 400 characters"),
+        _found(fields.where(F.array_contains("tags", "ai_exposed") & (F.col("hidden") | F.array_contains("tags", "ai_hidden"))), "LNT013", _field(), "is both curated for agents and hidden from them"),
+        _found(shown.where("kind = 'measure'").where(F.array_contains("tags", "certified")).join(linked, ["project", "view", "name"], "left_anti").where(F.size(_tag("glossary:")) == 0), "LNT014", _field(), "a certified measure without a term"),
         synonym_collisions(terms).select(F.lit("LNT015").alias("rule"), F.lit("terms").alias("location"), F.col("phrase").alias("object"), F.concat(F.lit("claimed by "), "claimed_by").alias("message"), F.array().cast("array<string>").alias("exempt")),
         _found(asked.where(blank("description")), "LNT016", F.col("explore"), "has no description"),
         _found(tagged.join(terms.select("term_id"), "term_id", "left_anti"), "LNT017", _field(), F.concat(F.lit("unknown term: "), F.col("term_id"))),
@@ -132,8 +139,8 @@ def run(spark: SparkSession, models: dict[str, SemanticModel], terms: DataFrame,
 
 
 def _redefined(fields: DataFrame) -> DataFrame:
-    home = fields.where("project = origin AND kind = 'measure'").where(F.array_contains("tags", "certified")).select(F.col("origin"), "view", "name", F.col("sql").alias("was"), F.col("type").alias("t"))
-    return fields.where("project <> origin").join(home, ["origin", "view", "name"]).where(~(F.col("sql").eqNullSafe(F.col("was")) & (F.col("type") == F.col("t"))))
+    home = fields.where("project = origin AND kind = 'measure'").where(F.array_contains("tags", "certified")).select(F.col("origin"), "view", "name", F.col("sql").alias("was"), F.col("type").alias("t"), F.col("filters").alias("kept"))
+    return fields.where("project <> origin").join(home, ["origin", "view", "name"]).where(~(F.col("sql").eqNullSafe(F.col("was")) & (F.col("type") == F.col("t")) & F.col("filters").eqNullSafe(F.col("kept"))))
 
 
 _F = [("p", "customers", "email", "dimension", "string", "a", []), ("p", "customers", "phone_no", "dimension", "string", "b", ["pii"]), ("p", "orders", "revenue", "measure", "sum", "x", []), ("p", "lines", "revenue", "measure", "sum", "y", []), ("p", "orders", "n", "measure", "count", None, [])]
@@ -153,5 +160,5 @@ def example(spark: SparkSession, rule: str) -> DataFrame:
     if rule == "synonym_collision":
         frame = spark.createDataFrame([(t, n, "approved", s, []) for t, n, s in _T], TERMS)
     else:
-        frame = spark.createDataFrame([(p, v, n, k, t, n, "", s, False, g, [], p, "define", "f:1", []) for p, v, n, k, t, s, g in _F], FIELDS)
+        frame = spark.createDataFrame([(p, v, n, k, t, n, "", s, False, g, [], p, "define", "f:1", [], "usd", "[]") for p, v, n, k, t, s, g in _F], FIELDS)
     return EXAMPLES[rule][0](frame)
