@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +55,13 @@ _CLEAN = re.compile(r"([^\W\d_]+)[.,;:?]*")
 MEMO = 32 << 20
 
 
+@lru_cache(1 << 16)
 def fold(c: str) -> str:
     """A letter in lower case without marks."""
     return unicodedata.normalize("NFKD", c.lower())[:1]
 
 
+@lru_cache(1 << 16)
 def _symbol(c: str) -> int:
     c = fold(c)
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
@@ -307,7 +310,7 @@ def score(df: DataFrame, model: CharModel, scorer: Scorer, text: str = "text", k
             texts = b.column(text).to_pylist()
             words = [restorer.text(t) for t in texts]
             out = [pa.array([scorer.score(w) for w in words], pa.float64()), pa.array([list(dict.fromkeys(w)) for w in words], pa.list_(pa.string()))]
-            return out + [pa.array([restore(t, model) for t in texts], pa.string())] * restored
+            return [*out, pa.array([restore(t, model) for t in texts], pa.string())] if restored else out
 
         return step
 
