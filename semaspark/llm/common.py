@@ -8,7 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
 from pathlib import Path
 
