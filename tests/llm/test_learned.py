@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 
@@ -55,6 +57,54 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def _letters(text, known=None):
+    """Letters in lower case, one blank for what lies between; unknown letters as one sign."""
+    out = " "
+    for c in text or "":
+        c = (c.lower() if known is None or c.lower() in known else "\0") if c.isalpha() else " "
+        out += "" if c == out[-1] == " " else c
+    return out
+
+
+def test_language_query_equals_naive_parsing(spark, monkeypatch):
+    """Every document of a table, by searching the labelled texts as strings."""
+    texts, learn, model = {}, langid.learn, langid.Model
+
+    def noting(*args, **how):
+        with monkeypatch.context() as m:
+            m.setattr(langid, "Model", lambda t: texts.update(t) or model(t))
+            return learn(*args, **how)
+
+    monkeypatch.setattr(langid, "learn", noting)
+    path = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    got = queries.op4_language_cross_parsing(spark, path).collect()
+    assert len(got) == len(docs) and len(texts) > 1
+    known = {c for t in texts.values() for c in t.lower() if c.isalpha()}
+    hay = {k: _letters(t) for k, t in sorted(texts.items())}
+
+    def cost(s, h):
+        n = 0
+        for at in range(0, len(s), langid.LANE):
+            n, phrase = n + 1, ""
+            for c in s[at : at + langid.LANE]:
+                if phrase + c in h:
+                    phrase += c
+                else:
+                    n, phrase = n + 1, c if c in h else ""
+        return n * math.log2(len(h))
+
+    for r in got:
+        s = _letters(docs[r.doc_id], known)
+        bits = {k: cost(s, h) for k, h in hay.items()}
+        least = min(bits.values())
+        if not s.strip():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        assert r.lang_pred == next(k for k in hay if bits[k] == least), r.doc_id
+        assert r.score == pytest.approx(1 / sum(math.exp(-min((b - least) * 0.1, 50)) for b in bits.values())), r.doc_id
+
+
 @pytest.fixture(scope="module")
 def model():
     text = "you are an idiot and a moron said the silly person who went to the market with a lot of the trash in the morning " * 50
